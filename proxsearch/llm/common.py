@@ -107,10 +107,11 @@ def key_filter(keys: DataFrame, key: str) -> DataFrame:
     return keys.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
 
 
-def passes(df: DataFrame, filt: DataFrame, key: str) -> DataFrame:
-    """The rows of ``df`` whose hash ``key`` may be among those of ``filt``."""
+def may_pass(df: DataFrame, filt: DataFrame, key: str, yes: bool = True) -> DataFrame:
+    """The rows of ``df`` whose hash ``key`` may be among those of ``filt``, or (not ``yes``) surely isn't."""
     slot = F.pmod(F.col(key), F.lit(BITS))
     pos = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(pos, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    hit = F.getbit(byte, F.pmod(pos, F.lit(8)).cast("int")) == 1
-    return df.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(filt), "_bucket").where(hit).drop("_bucket", "_bits")
+    hit = F.coalesce(F.getbit(byte, F.pmod(pos, F.lit(8)).cast("int")) == 1, F.lit(False))
+    tested = df.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(filt), "_bucket", "inner" if yes else "left")
+    return tested.where(hit if yes else ~hit).drop("_bucket", "_bits")

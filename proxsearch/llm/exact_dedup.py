@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_unique, key_filter, materialize, partitions, passes, pick, shared_dir
+from .common import join_unique, key_filter, materialize, may_pass, partitions, pick, shared_dir
 
 #: Bits of the hash that the directory may use: it never has more than 2^16 slots, so it can be broadcast.
 MAX_DEPTH = 16
@@ -171,7 +171,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def to_owners(df: DataFrame, *order: str) -> DataFrame:
         return df.withColumn("slot", at).join(directory, "slot").drop("slot").repartitionById(n_owners, "owner").sortWithinPartitions(*order)
 
-    again = passes(d.withColumn("key", F.xxhash64("text")), key_filter(keys.where("n > 1"), "key"), "key")
+    again = may_pass(d.withColumn("key", F.xxhash64("text")), key_filter(keys.where("n > 1"), "key"), "key")
     combined = again.select("key", "text", "doc_id").mapInArrow(_combine, _COMBINED)
     chained = to_owners(combined, "key").select("key", "text", "keep_id", "n").mapInArrow(_chain, _ENTRY)
     several = chained.join(keys.where("n > 1").select("key"), "key", "left_semi")  # the filter also lets some other keys pass
