@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .line_dedup import line_digest
+from .packing import pack
+from .token_files import token_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +24,27 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
 
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, size=4096)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(spark, _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op7_line_dedup": op7_line_dedup,
+        "op9_packing": op9_packing,
+        "op10_token_files": op10_token_files,
     }
 
 
