@@ -95,6 +95,7 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return cold.select(*keys, *out, *cols).unionByName(warm.select(*keys, *out, *cols))
 
 
+#: Bits of a key_filter. Bit i is bit i % 8 of byte i // 8 % 4096 in row 1 + i // 32768.
 BITS = 1 << 26
 
 
@@ -103,13 +104,13 @@ def key_filter(keys: DataFrame, key: str) -> DataFrame:
 
     What passes it is a superset of the rows with such keys; it saves moving most of the others.
     """
-    slot = F.pmod(F.col(key), F.lit(BITS))
+    slot = F.pmod(F.col(key), F.lit(BITS)) + 1
     return keys.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
 
 
 def may_pass(df: DataFrame, filt: DataFrame, key: str, yes: bool = True) -> DataFrame:
     """The rows of ``df`` whose hash ``key`` may be among those of ``filt``, or (not ``yes``) surely isn't."""
-    slot = F.pmod(F.col(key), F.lit(BITS))
+    slot = F.pmod(F.col(key), F.lit(BITS)) + 1
     pos = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(pos, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
     hit = F.coalesce(F.getbit(byte, F.pmod(pos, F.lit(8)).cast("int")) == 1, F.lit(False))

@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_digest
 from .minhash import near_dedup
 from .packing import pack
+from .substring_dedup import substring_digest
 from .token_files import token_digest
 
 
@@ -21,6 +22,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(_table(spark, sf_dir, "documents"), window=35)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), percent=85, n_words=3)
 
@@ -47,6 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_substring_dedup": op3_substring_dedup,
         "op6_minhash": op6_minhash,
         "op7_line_dedup": op7_line_dedup,
         "op9_packing": op9_packing,
@@ -79,6 +85,24 @@ FROM marked GROUP BY doc_id
 """
 
 
+_OP3 = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+    SELECT doc_id, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS h FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 33)) AS i) WHERE len(ws) >= 35
+), dup AS (
+    SELECT h FROM win GROUP BY h HAVING count(*) > 1
+), gone AS (
+    SELECT DISTINCT doc_id, p FROM win JOIN dup USING (h), LATERAL (SELECT unnest(range(i, i + 35)) AS p)
+), word AS (
+    SELECT doc_id, p, ws[p] AS word FROM w, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS p)
+), kept AS (
+    SELECT word.doc_id, count(*) FILTER (WHERE gone.p IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY word.p) FILTER (WHERE gone.p IS NULL) AS t
+    FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p GROUP BY word.doc_id
+)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
 _OP6 = r"""
 WITH RECURSIVE w AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -100,4 +124,4 @@ SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = compon
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op6_minhash": _OP6, "op7_line_dedup": _OP7}
+    return {"op1_exact_dedup": _OP1, "op3_substring_dedup": _OP3, "op6_minhash": _OP6, "op7_line_dedup": _OP7}
