@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .line_dedup import line_digest
 from .minhash import near_dedup
+from .mixing import mix
 from .packing import pack
 from .substring_dedup import substring_digest
 from .token_files import token_digest
@@ -26,6 +27,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(_table(spark, sf_dir, "documents"), window=35)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), repeat=3).drop("pattern")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), percent=85, n_words=3)
 
@@ -53,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_substring_dedup": op3_substring_dedup,
+        "op5_mixing": op5_mixing,
         "op6_minhash": op6_minhash,
         "op7_line_dedup": op7_line_dedup,
         "op9_packing": op9_packing,
