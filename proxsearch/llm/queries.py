@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .line_dedup import line_digest
 from .minhash import near_dedup
@@ -27,6 +28,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(_table(spark, sf_dir, "documents"), window=35)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), repeat=3).drop("pattern")
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_mixing": op5_mixing,
         "op6_minhash": op6_minhash,
         "op7_line_dedup": op7_line_dedup,
@@ -109,6 +115,22 @@ WITH w AS (
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
+_OP4 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), p AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93
+), reach(vec_id, other) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, p.b FROM reach r JOIN p ON r.other = p.a
+), c AS (
+    SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+), n AS (
+    SELECT a, count(*) AS n FROM p GROUP BY a
+)
+SELECT c.vec_id, coalesce(n.n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.a = c.vec_id
+"""
+
 _OP6 = r"""
 WITH RECURSIVE w AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -130,4 +152,4 @@ SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = compon
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op3_substring_dedup": _OP3, "op6_minhash": _OP6, "op7_line_dedup": _OP7}
+    return {"op1_exact_dedup": _OP1, "op3_substring_dedup": _OP3, "op4_embedding_dedup": _OP4, "op6_minhash": _OP6, "op7_line_dedup": _OP7}
