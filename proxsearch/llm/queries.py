@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .line_dedup import line_digest
 from .minhash import near_dedup
 from .mixing import mix
 from .packing import pack
+from .quality import score_quality
 from .substring_dedup import substring_digest
 from .token_files import token_digest
 
@@ -24,6 +26,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=4, held=2)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(_table(spark, sf_dir, "documents"), window=35)
 
@@ -51,6 +57,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"), folds=5, held=0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, size=4096)
 
@@ -62,11 +72,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_quality": op2_quality,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_mixing": op5_mixing,
         "op6_minhash": op6_minhash,
         "op7_line_dedup": op7_line_dedup,
+        "op8_language_id": op8_language_id,
         "op9_packing": op9_packing,
         "op10_token_files": op10_token_files,
     }
