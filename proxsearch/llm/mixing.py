@@ -96,7 +96,7 @@ def route(patterns: dict[tuple, int], quota: dict[str | None, float], repeat: in
     return out
 
 
-_ROW = "doc_id long, pattern string, size long, u long, want double, picked boolean"
+_ROW = "doc_id long, pattern string, size long, _th long, u long, want double, picked boolean"
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +114,7 @@ def word_count(text: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeat: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, pattern, size, source_size, target, taken.
+    """One row per row of ``docs``: doc_id, pattern, size, source_size, target, taken, and _th, xxhash64 of the text.
 
     ``source_col`` is a source, or an array of them where sources overlap; documents are summed by pattern,
     the set of their sources, and only these sums reach the driver (at most MAX_PATTERNS). A flow routes
@@ -134,7 +134,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeat: int = 3,
     several = d.schema["source"].dataType.typeName() == "array"
     members = F.array_sort(F.array_distinct("source")) if several else F.array("source")
     # JSON leaves nulls out of no array, so null is a member like others
-    d = d.select(F.col("doc_id").cast("long").alias("doc_id"), F.to_json(F.coalesce(members, F.array().cast("array<string>"))).alias("pattern"), word_count(F.coalesce("text", F.lit(""))).alias("size"))
+    d = d.select(F.col("doc_id").cast("long").alias("doc_id"), F.to_json(F.coalesce(members, F.array().cast("array<string>"))).alias("pattern"), word_count(F.coalesce("text", F.lit(""))).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
     rows = materialize(d.withColumn("u", F.xxhash64(F.lit(seed), "doc_id")))
     sums = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
@@ -172,7 +172,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeat: int = 3,
     clear = small.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("picked", F.col("edge").isNull() | (F.col("bucket") < F.col("edge")))
     run = F.sum("size").over(Window.partitionBy("pattern").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     at = small.where("bucket = edge").withColumn("run", run).withColumn("picked", F.col("before") + F.col("run") - F.col("size") / 2 <= F.col("want"))
-    cols = ["doc_id", "pattern", "size", "picked"]
+    cols = ["doc_id", "pattern", "size", "_th", "picked"]
     every = clear.select(*cols).unionByName(at.select(*cols)).unionByName(big.select(*cols)).join(planned, "pattern")
     taken = F.col("size") * (F.col("times") + F.when(F.col("picked") & (F.col("rest") > 0), 1).otherwise(0))
-    return every.select("doc_id", "pattern", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return every.select("doc_id", "pattern", "size", "source_size", "target", taken.cast("long").alias("taken"), "_th")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,6 +198,24 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> C
     return Crf.fit(first, x, size, label)
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score_quality would predict to be good; all, where nothing could be learnt."""
+    d = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = pick(labels, doc_id=id_col, quality=label_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    model = fit_labelled(d, own, folds, held)
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        model = sent.value
+        got = [model.score(first, x.astype(float), size) for _, first, size, x in text_features(pa.array(texts, pa.large_string()))]
+        return pd.Series(np.concatenate(got) >= THRESHOLD if got else [], dtype=bool)
+
+    return docs.where(good(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted (1 if score >= THRESHOLD).
 

@@ -39,7 +39,7 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), repeat=3).drop("pattern")
+    return mix(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), repeat=3).drop("pattern", "_th")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
