@@ -8,19 +8,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_unique, key_filter, materialize, may_pass, partitions, pick
 
-WHITE = " \t\n\x0b\f\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(1 << 63)
 
 
-def line_key(line: Column) -> Column:
-    """The line without ASCII white space at its ends, A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
+def line_keys(text: str, min_chars: int = 1) -> list[bytes | None]:
+    """Key of each line: without ASCII white space at its ends, A-Z lower-cased; None if under ``min_chars``."""
+    keys = [line.strip() for line in text.encode().lower().split(b"\n")]
+    return [k if len(k) >= min_chars and (len(k) >= 4 * min_chars or len(k.decode()) >= min_chars) else None for k in keys]
 
 
 def pack_bits(n: int, dropped: list[int]) -> bytes:
@@ -109,10 +109,20 @@ def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError(f"keep: {keep!r}")
     spark = docs.sparkSession
     d = _rows(docs, id_col, text_col)
-    keyed = F.transform(F.split("text", "\n", -1), line_key)
-    hashed = F.transform(keyed, lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"), (F.length(k) >= min_chars).alias("on")))
-    lines = d.select("did", "th", F.size(F.split("text", "\n", -1)).alias("n_lines"), F.posexplode(hashed).alias("pos", "k"))
-    lines = materialize(lines.where("k.on").select("did", "th", "n_lines", "pos", "k.h1", "k.h2"))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: list[list] = [[], [], [], [], []]
+            for did, th, text in zip(*(b.column(c).to_pylist() for c in ("did", "th", "text")), strict=True):
+                keys = line_keys(text, min_chars)
+                on = [i for i, k in enumerate(keys) if k is not None]
+                for c, v in zip(cols, ([did] * len(on), [th] * len(on), [len(keys)] * len(on), on, [xxhash.xxh3_128_digest(keys[i]) for i in on]), strict=True):
+                    c += v
+            h = np.frombuffer(b"".join(cols[4]), "<i8").reshape(-1, 2)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["did", "th", "n_lines", "pos", "h1", "h2"])
+
+    lines = materialize(d.select("did", "th", "text").mapInArrow(hashes, "did long, th long, n_lines int, pos int, h1 long, h2 long"))
     total = lines.count()
     order = ["h1", "h2", "did", "th"]
     ranged = lines.select(*order, "pos").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "pos")
@@ -149,7 +159,7 @@ def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = line_marks(docs, id_col, text_col, **how)
     d = _rows(docs, id_col, text_col).withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
     filt = key_filter(marks, "th")
-    cut = may_pass(d, filt, "th").join(marks, ["did", "th"], "left").withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long")))
+    cut = may_pass(d, filt, "th").join(marks.hint("merge"), ["did", "th"], "left").withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long")))
     cut = cut.select("doc_id", "n_lines", "n_dropped", "text", "keep_bits").mapInArrow(_apply, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
     whole = may_pass(d, filt, "th", False).select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
     return cut.unionByName(whole)
