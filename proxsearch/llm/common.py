@@ -20,6 +20,7 @@ def pick(df: DataFrame, **want: str) -> DataFrame:
     Columns are found by exact name first, then without regard to case; of several of one name
     the first counts. Other columns, whatever their names, can't clash with an operator's own.
     """
+    bound_batches(df.sparkSession)
     names = df.columns
     folded = [n.lower() for n in names]
     spots = {}
@@ -34,6 +35,17 @@ def pick(df: DataFrame, **want: str) -> DataFrame:
     return by_place.select(*[F.col(f"c{i}").alias(new) for new, i in spots.items()])
 
 
+#: Texts handed to Python at once, so that a worker's memory doesn't grow with their lengths too much.
+ARROW_ROWS = 500
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_ROWS rows, unless the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name in the folder that all executors share (spark.checkpoint.dir).
 
