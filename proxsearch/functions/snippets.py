@@ -38,7 +38,8 @@ def clean(s: Column) -> Column:
 
 def snippets(text: Column, matches: Column, window: int = WINDOW, cleanup: bool = True) -> Column:
     """One snippet per match; none for a null text."""
-    return F.coalesce(F.transform(matches, lambda m: snippet(text, m, window, cleanup)), F.array().cast("array<string>"))
+    made = F.when(text.isNotNull(), F.transform(matches, lambda m: snippet(text, m, window, cleanup)))
+    return F.coalesce(made, F.array().cast("array<string>"))
 
 
 def file_name(path: Column) -> Column:
