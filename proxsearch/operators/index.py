@@ -95,11 +95,12 @@ class Index:
     def expand(self, query: Query) -> DataFrame:
         return expansion(self.vocabulary(), query)
 
-    def search(self, text: str, adjacency: int = 2, budget: str = "scaled", keep_unmatched: bool = False) -> DataFrame:
-        """(doc_id, matches); literal terms prune buckets and reach the scan as filters."""
+    def search(self, text: str, adjacency: int = 2, budget: str = "scaled", keep_unmatched: bool = False, limit: int | None = None) -> DataFrame:
+        """(doc_id, matches), the first ``limit`` if given; literal terms prune buckets and reach the scan as filters."""
         query = Query(text, adjacency, budget, keep_unmatched, fold=self.state["case"] == "fold")
         plain = len(self.state["segments"]) == 1
-        return search(self.tokens(), query, self.state["buckets"] if plain else None)
+        found = search(self.tokens(), query, self.state["buckets"] if plain else None)
+        return found if limit is None else found.limit(limit)
 
     def snippets(self, results: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100) -> DataFrame:
         """``results`` with their snippets; only the found documents' texts move."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.wildcard import is_pattern, matches
@@ -94,3 +98,28 @@ def rarest_first(index: DataFrame, vocab: DataFrame, query: Query) -> DataFrame:
     return index.join(some, "doc_id", "left_semi")
 
 
+
+
+class LatestSearch:
+    """Runs one action at a time: starting another cancels the jobs of the one before, started or not."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tag, self.lock = spark, "", threading.Lock()
+
+    def cancel(self) -> None:
+        with self.lock:
+            if self.tag:
+                self.spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(self.tag)
+            self.tag = ""
+
+    def run(self, action: Callable[[], Any]) -> Any:
+        self.cancel()
+        tag = f"search-{uuid.uuid4().hex}"
+        with self.lock:
+            self.tag = tag
+        context = self.spark.sparkContext
+        context.setJobGroup(tag, "search", interruptOnCancel=True)
+        try:
+            return action()
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)

@@ -11,10 +11,12 @@ from .functions import codec, text
 from .functions.snippets import file_name, snippets
 from .functions.wildcard import legacy_matches, matches, star_budget
 from .operators import inverted
+from .operators.index import Index
 from .operators.proximity import chain_join
 from .plans.query import Query, expansion, grouped, search
 from .sources import files
-from .storage import number_rows
+from .storage import number_rows, scratch
+from .streaming.ingest import index_stream
 
 Fn = Callable[[SparkSession, str], DataFrame]
 
@@ -323,6 +325,28 @@ def _id_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return files.paths_of(spark.createDataFrame([(1,), (2,), (100000000,)], "doc_id long"), _registry(spark, sf), "root")
 
 
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored index: two batches, a deletion, compaction, then a search on what is left."""
+    d = _table(spark, sf)
+    index = Index(spark, scratch(spark), buckets=16, case="fold")
+    index.append(d.where("doc_id % 2 = 0"))
+    index.append(d.where("doc_id % 2 = 1"))
+    index.delete(_table(spark, sf, "labels").where("toxic = 1").select("doc_id"))
+    index.compact()
+    return index.search("of the").select("doc_id", F.explode("matches").alias("m")).select("doc_id", _positions("m").alias("positions"))
+
+
+def _streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """The vocabulary of an index filled by a stream."""
+    d = _table(spark, sf)
+    index = Index(spark, scratch(spark), buckets=16)
+    # the table is a file, where streams read folders
+    feed = scratch(spark)
+    d.select("doc_id", "text").write.parquet(feed)
+    index_stream(spark.readStream.schema(d.select("doc_id", "text").schema).parquet(feed), index, scratch(spark)).awaitTermination()
+    return index.vocabulary()
+
+
 def queries() -> dict[str, Fn]:
     out: dict[str, Fn] = {
         "tokens_documents": _tokens(_DOCS), "tokens_pages_clean": _tokens(_PAGES), "tokens_pages_swallow": _tokens(_PAGES, "swallow"), "tokens_unicode": _unicode_tokens,
@@ -337,6 +361,7 @@ def queries() -> dict[str, Fn]:
         "merge_last_wins": _merged(inverted.merge_last_wins), "reindex_replace": _merged(inverted.merge_replace), "delete_docs": _delete,
         "snippets_plain": _snippets_plain, "snippets_pages": _snippets_pages, "late_offsets": _late, "result_html": _result_html,
         "strip_tags": _strip(text.strip_tags, "stripped"), "strip_hebrew_marks": _strip(text.strip_hebrew_marks, "stripped", _DOCS),
+        "stored_index_search": _stored, "stream_ingest_vocabulary": _streamed,
         "wild_multi_star": _wild("t*e*r", "scaled"),
     }
     out |= {k: _search(q) for k, q in _SEARCHES.items()}
@@ -380,6 +405,8 @@ def oracle_sql() -> dict[str, str]:
         "snippets_plain": _snippet_sql("SELECT doc_id, snippet FROM snip"),
         "result_html": _snippet_sql("SELECT doc_id, '<li><b>' || doc_id || '.txt</b> Document id: ' || doc_id || '<br>' || snippet || '</li>' AS item FROM snip"),
         "late_offsets": f"WITH {_sql_chain(_SNIPPET_QUERY, 'fold')}, m AS (SELECT doc_id, p0 AS position FROM c1 UNION SELECT doc_id, p1 FROM c1) SELECT m.doc_id, m.position, char_start, char_len FROM m JOIN idx ON idx.doc_id = m.doc_id AND idx.position = m.position",
+        "stored_index_search": _search_sql(_SEARCHES["near2_a2"]) + " WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+        "stream_ingest_vocabulary": f"WITH {first} SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS coll_freq FROM idx GROUP BY term",
         "strip_tags": "SELECT page_id, regexp_replace(html, '<.*?>', '', 'g') AS stripped FROM pages",
         "strip_hebrew_marks": r"SELECT doc_id, regexp_replace(text, '[\x{0591}-\x{05CF}]', '', 'g') AS stripped FROM documents",
     }

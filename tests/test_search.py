@@ -150,3 +150,25 @@ def test_files_and_registry(spark, tmp_path):
     assert {r["doc_id"]: r["path"] for r in files.paths_of(spark.createDataFrame([(2,), (77,)], "doc_id long"), two, "/r").collect()} == {2: "/r/z/b.txt", 77: None}
     page = files.to_html(spark.createDataFrame([(2, "r/b.txt", ["<mark>x</mark>"])], "doc_id long, path string, snippets array<string>"))
     assert "<li><b>b.txt</b> Document id: 2<br><mark>x</mark></li>" in page
+
+
+def test_latest_search(spark):
+    import threading
+    import time
+
+    from proxsearch.plans.query import LatestSearch
+
+    latest, ended = LatestSearch(spark), []
+
+    def slow():
+        try:
+            latest.run(lambda: spark.range(1 << 40).selectExpr("sum(id % 7)").collect())
+        except Exception as e:  # noqa: BLE001
+            ended.append(e)
+
+    t = threading.Thread(target=slow)
+    t.start()
+    time.sleep(5)
+    assert latest.run(lambda: spark.range(10).count()) == 10
+    t.join(60)
+    assert len(ended) == 1
