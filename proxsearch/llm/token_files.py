@@ -213,7 +213,7 @@ def write_token_files(table: DataFrame, path: str, vocabulary: int, dtype: str =
     spark = table.sparkSession
     lengths = code_lengths(id_counts(table, vocabulary, dtype))
     sent = spark.sparkContext.broadcast(lengths)
-    order = ["doc_id", "n_tokens", "ids"]
+    order = ["doc_id", "n_tokens", "_hash"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -237,7 +237,7 @@ def write_token_files(table: DataFrame, path: str, vocabulary: int, dtype: str =
         write_file(name, blocks(), lengths, LIMIT)
         yield pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int32()), "file": [name], "n_docs": pa.array([seen[0]], pa.int64()), "n_tokens": pa.array([seen[1]], pa.int64())})
 
-    ranged = table.select(*order).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    ranged = table.withColumn("_hash", F.xxhash64("ids")).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
     files = materialize(ranged.mapInArrow(write, "number int, file string, n_docs long, n_tokens long"))
     start, rows = 0, []
     for r in sorted(files.where("n_docs > 0").collect()):
@@ -273,7 +273,7 @@ def token_digest(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
     """Encodes ``docs``, writes the token-id files (to ``path``, a URI of shared storage) and digests what they hold.
 
     Nulls: a null text counts as empty, which is ``end_id`` alone; null doc_ids come first. Repeated
-    ids are ordered by number of ids, then the ids. Empty input writes no documents and gives no
+    ids are ordered by number of ids, then a hash of the ids. Empty input writes no documents and gives no
     rows. Long texts are whole in one block. Other columns are ignored.
     """
     from tokenizers import Tokenizer
