@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_unique, materialize, pick
-from .graph import components
+from .graph import components, union
 
 #: Vectors that a forest is fitted on, at most; every vector is indexed.
 SAMPLE = 1 << 16
@@ -80,21 +80,6 @@ def unit(column: pa.Array) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def union(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """Joins a[i] and b[i] in ``parent``, whose roots are the smallest of their sets."""
-    while True:
-        ra, rb = parent[a], parent[b]
-        open_ = ra != rb
-        if not open_.any():
-            return parent
-        np.minimum.at(parent, np.maximum(ra, rb)[open_], np.minimum(ra, rb)[open_])
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-
-
 def leaf_links(x: np.ndarray, copies: np.ndarray, codes: np.ndarray, tree: int, node: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links within one leaf: for each vector the linked others (with their copies) that no earlier leaf
     also holds with it, and the root of its links within the leaf.
@@ -112,7 +97,7 @@ def leaf_links(x: np.ndarray, copies: np.ndarray, codes: np.ndarray, tree: int,
             i, j = i[ahead], j[ahead]
             if not len(i):
                 continue
-            parent = union(n, i, j, parent)
+            parent = union(i, j, parent)
             first = np.ones(len(i), bool)
             for t in range(tree + 1):
                 for s in range(codes.shape[2]):

@@ -136,7 +136,8 @@ def near_dedup(docs: DataFrame, percent: int = 85, n_words: int = 3, bands: int
     distance is a metric: with c the centre, x linked to c and y not, x and y can't be linked if
     d(c, y) > d(c, x) + (1 - percent / 100). So members linked to the centre leave the bucket unless some
     unlinked member is that near; centres leave too, and the rest go to the next round, which has
-    twice as many centres. Rounds end when no bucket has two members left, so no link between members
+    eight times as many centres. Members of one component aren't compared any more, and a bucket whose
+    members are all of one component is done. Rounds end when no bucket has two members left, so no link between members
     of a bucket goes untested that could join components, and no bucket's pairs are all listed.
     Two sets at the threshold share no bucket with probability (1 - 0.85^6)^32 < 3e-7.
 
@@ -157,31 +158,37 @@ def near_dedup(docs: DataFrame, percent: int = 85, n_words: int = 3, bands: int
     several = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     filt = key_filter(several.select("bucket"), "bucket")
     open_ = materialize(may_pass(placed, filt, "bucket"))
-    links, reach = [], 1 - percent / 100
-    centres = 1
+    links, reach, centres = spark.createDataFrame([], "a long, b long"), 1 - percent / 100, 1
+    named = None
     while True:
         buckets = materialize(_centres(open_, centres).where("n > 1"))
         n_open = open_.count()
         seen = join_unique(open_, buckets, ["bucket"], "n", n_open, "inner").select("bucket", "x", F.explode("cs").alias("c"), F.array_contains("cs", F.col("x")).alias("is_centre"))
-        seen = seen.where((F.col("c") < F.col("x")) | ~F.col("is_centre"))
-        pairs = materialize(seen.select("c", "x").distinct())
+        seen = materialize(seen.where((F.col("c") < F.col("x")) | ~F.col("is_centre")))
+        pairs = seen.select("c", "x").distinct()
+        if named is not None:  # what is connected already needs no test
+            pairs = pairs.join(named.hint("merge"), "x", "left").withColumnRenamed("to", "_x").join(named.select(F.col("x").alias("c"), F.col("to").alias("_c")).hint("merge"), "c", "left")
+            pairs = pairs.where(F.coalesce("_x", "x") != F.coalesce("_c", "c")).select("c", "x")
+        pairs = materialize(pairs)
         if not pairs.limit(1).count():
             break
         ends = pairs.select(F.xxhash64("c").alias("k")).unionByName(pairs.select(F.xxhash64("x").alias("k")))
         wanted = may_pass(d.withColumn("_k", F.xxhash64("doc_id")), key_filter(ends, "k"), "_k").select("doc_id", "text")
         tested = materialize(_verify(wanted, pairs, n_words))
         is_link = F.col("both") * 100 >= F.col("all_") * percent
-        links.append(tested.where(is_link).select(F.col("c").alias("a"), F.col("x").alias("b")))
+        links = materialize(links.unionByName(tested.where(is_link).select(F.col("c").alias("a"), F.col("x").alias("b"))))
+        named = components(links).select(F.col("node").alias("x"), F.col("component").alias("to"))
         known = tested.select("c", "x", is_link.alias("linked"), (1 - F.col("both") / F.col("all_")).alias("dist"))
-        rest = materialize(seen.where("NOT is_centre").select("bucket", "c", "x").join(known.hint("merge"), ["c", "x"]))
+        rest = materialize(seen.where("NOT is_centre").select("bucket", "c", "x").join(known.hint("merge"), ["c", "x"], "left"))
         near = rest.groupBy("bucket", "c").agg(F.min(F.when(~F.col("linked"), F.col("dist"))).alias("near"), F.count(F.lit(1)).alias("m"))
-        out = F.col("linked") & (F.col("near").isNull() | (F.col("near") > F.col("dist") + reach + 1e-9))
-        judged = join_unique(rest, near, ["bucket", "c"], "m", n_open * centres, "inner").groupBy("bucket", "x").agg(F.max(out).alias("out"))
-        open_ = materialize(judged.where("NOT out").select("x", "bucket"))
-        centres *= 2
-    edges = spark.createDataFrame([], "a long, b long")
-    for more in links:
-        edges = edges.unionByName(more)
+        out = F.coalesce(F.col("linked") & (F.col("near").isNull() | (F.col("near") > F.col("dist") + reach + 1e-9)), F.lit(False))
+        judged = join_unique(rest, near, ["bucket", "c"], "m", n_open * centres, "inner").groupBy("bucket", "x").agg(F.max(out).alias("out")).where("NOT out")
+        judged = judged.join(named.hint("merge"), "x", "left").select("bucket", "x", F.coalesce("to", "x").alias("to"))
+        judged = materialize(judged)
+        apart = judged.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), (F.min("to") != F.max("to")).alias("apart")).where("apart")
+        open_ = materialize(join_unique(judged, apart, ["bucket"], "m", n_open, "inner").select("x", "bucket"))
+        centres *= 8
+    edges = links
     spread = [F.min(c) != F.max(c) for c in key]
     twice = usable.groupBy("doc_id").agg((spread[0] | spread[1] | spread[2]).alias("several")).where("several").select("doc_id")
     same_id = usable.join(twice, "doc_id", "left_semi").join(classes.hint("merge"), key).where("doc_id != x")

@@ -86,5 +86,7 @@ def test_components(spark):
         for a, b in edges:
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
-    got = components(spark.createDataFrame(edges, "a long, b long"))
-    assert {r["node"]: r["component"] for r in got.collect()} == label and got.count() == len(label)
+    for most in (1 << 20, 10):  # on the driver, and in rounds
+        got = components(spark.createDataFrame(edges, "a long, b long"), driver_links=most)
+        assert {r["node"]: r["component"] for r in got.collect()} == label and got.count() == len(label)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
