@@ -1,8 +1,8 @@
-"""Embedding near-dedup with a forest of random-projection trees."""
+"""Embedding near-dedup with a forest of random-projection trees; dense groups are kept whole beside it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,10 @@ from .graph import components, union
 #: Vectors that a forest is fitted on, at most; every vector is indexed.
 SAMPLE = 1 << 16
 TILE = 1024
+#: Share of pairs at the threshold that a forest may miss, as measured on up to PAIRS such pairs.
+MISS, PAIRS = 0.001, 8192
+#: Components of the vectors that one task holds of one block of a dense group.
+BLOCK = 1 << 20
 
 
 @dataclass
@@ -27,33 +31,56 @@ class Forest:
     margins: list[np.ndarray]
 
     @staticmethod
-    def fit(sample: np.ndarray, rows: int, trees: int, leaf: int, spill: float, dims: int, seed: int) -> Forest:
-        """Splits at medians of ``sample``; recursion ends where about ``leaf`` of all ``rows`` vectors are left."""
+    def fit(sample: np.ndarray, rows: int, trees: int, leaf: int, spill: float, dims: int, seed: int, least: float) -> Forest:
+        """Splits at medians of ``sample``; recursion ends where about ``leaf`` of all ``rows`` vectors are left.
+
+        ``trees`` are grown at least, and more, up to four times as many, until they hold all but MISS of pairs at
+        cosine ``least``, measured on pairs made for it. If that isn't enough the trees get a level less.
+        """
         n = len(sample)
         depth = 0
         while n and rows >> depth > leaf and n >> depth > 32:
             depth += 1
-        rng = np.random.default_rng(seed)
-        directions = rng.standard_normal((trees, max(1, depth), dims))
-        thresholds, margins = [], []
-        for t in range(trees):
-            th, mg = np.full(2 ** (depth + 1) - 1, np.nan), np.zeros(2 ** (depth + 1) - 1)
-            held = {0: np.arange(n)}
-            for level in range(depth):
-                p = sample @ directions[t, level, : sample.shape[1]]
-                below = {}
-                for node, members in held.items():
-                    x = p[members]
-                    width = x.std() if len(x) else 0.0
-                    if len(x) <= 32 or width < 1e-9:
-                        continue
-                    th[node], mg[node] = np.median(x), spill * width
-                    below[2 * node + 1] = members[x < th[node] + mg[node]]
-                    below[2 * node + 2] = members[x >= th[node] - mg[node]]
-                held = below
-            thresholds.append(th)
-            margins.append(mg)
-        return Forest(directions, thresholds, margins)
+        rng = np.random.default_rng(seed + 1)
+        x = sample[rng.permutation(n)[:PAIRS]]
+        u = rng.standard_normal(x.shape)
+        u -= (u * x).sum(1, keepdims=True) * x
+        y = least * x + np.sqrt(1 - least * least) * u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+        while True:
+            rng = np.random.default_rng(seed)
+            grown, missed = Forest(np.empty((0, max(1, depth), dims)), [], []), np.full(len(x), depth > 0)
+            while len(grown.thresholds) < trees or (missed.sum() > MISS * len(x) and len(grown.thresholds) < 4 * trees):
+                tree = Forest._tree(sample, rng.standard_normal((max(1, depth), dims)), depth, spill)
+                missed &= ~tree._holds(x, y)
+                grown = Forest(np.concatenate((grown.directions, tree.directions)), grown.thresholds + tree.thresholds, grown.margins + tree.margins)
+            if missed.sum() <= MISS * len(x):
+                return grown
+            depth -= 1
+
+    @staticmethod
+    def _tree(sample: np.ndarray, directions: np.ndarray, depth: int, spill: float) -> Forest:
+        th, mg = np.full(2 ** (depth + 1) - 1, np.nan), np.zeros(2 ** (depth + 1) - 1)
+        held = {0: np.arange(len(sample))}
+        for level in range(depth):
+            p = sample @ directions[level, : sample.shape[1]]
+            below = {}
+            for node, members in held.items():
+                x = p[members]
+                width = x.std() if len(x) else 0.0
+                if len(x) <= 32 or width < 1e-9:
+                    continue
+                th[node], mg[node] = np.median(x), spill * width
+                below[2 * node + 1] = members[x < th[node] + mg[node]]
+                below[2 * node + 2] = members[x >= th[node] - mg[node]]
+            held = below
+        return Forest(directions[None], [th], [mg])
+
+    def _holds(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether any leaf holds both x[i] and y[i], of a forest of one tree."""
+        (r, _, a), (q, _, b) = self.route(x), self.route(y)
+        both = np.zeros(len(x), bool)
+        both[r[np.isin(r << 40 | a, q << 40 | b)]] = True
+        return both
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, tree, leaf) of every leaf that each row of ``x`` falls into; near a threshold, into both sides."""
@@ -110,9 +137,105 @@ def leaf_links(x: np.ndarray, copies: np.ndarray, codes: np.ndarray, tree: int,
     return links, parent
 
 
+@dataclass
+class Balls:
+    """Centres of dense groups. A vector within twice the linking angle of a centre is a core vector of the
+    nearest one. Whatever links with it is within three times that angle, so comparing the cores with all
+    vectors within that (the halo) finds every link of a core vector."""
+
+    centres: np.ndarray
+    core: float  # least cosines
+    halo: float
+    blocks: np.ndarray  # by centre
+
+    @staticmethod
+    def fit(sample: np.ndarray, rows: int, leaf: int, least: float, seed: int) -> Balls:
+        """Centres such that vectors linked with an eighth of a leaf, by ``sample``, are core vectors."""
+        n, angle = len(sample), float(np.arccos(np.clip(least, -1, 1)))
+        out = Balls(np.empty((0, sample.shape[1])), float(np.cos(min(np.pi, 2 * angle))), float(np.cos(min(np.pi, 3 * angle))) - 1e-6, np.empty(0, np.int64))
+        if rows <= leaf or not n:
+            return out
+        need = max(8.0, leaf / 8 * n / rows)
+        some = np.random.default_rng(seed).permutation(n)[: int(np.ceil(32 * n / need))]
+        single, counts = sample.astype(np.float32), np.zeros(len(some), np.int64)
+        for i in range(0, len(some), TILE):
+            for j in range(0, n, 4 * TILE):
+                counts[i : i + TILE] += (single[some[i : i + TILE]] @ single[j : j + 4 * TILE].T >= least).sum(1)
+        order = np.argsort(-counts, kind="stable")
+        left, found = some[order][counts[order] >= need], []
+        while len(left):
+            found.append(left[0])
+            left = left[1:][sample[left[1:]] @ sample[left[0]] < least]
+        out.centres = sample[found]
+        near = np.zeros(len(found), np.int64)
+        for i in range(0, n, TILE):
+            near += (sample[i : i + TILE] @ out.centres.T >= out.halo).sum(0)
+        out.blocks = np.ceil(near * (rows / n) / max(TILE, BLOCK // sample.shape[1])).astype(np.int64).clip(1)
+        return out
+
+    def homes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The centre of each core vector (others: the number of centres), and the cosines to all centres."""
+        none = len(self.centres)
+        cos = x @ self.centres[:, : x.shape[1]].T
+        if not none:
+            return np.zeros(len(x), np.int64), cos
+        best = cos.argmax(1)
+        return np.where(cos[np.arange(len(x)), best] >= self.core, best, none), cos
+
+    def tiles(self, ids: np.ndarray, home: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, centre, tile, block, core) of every pair of blocks that each vector is compared in. A core vector is
+        in the halo of the centres before its own only, so that a pair of cores is compared once."""
+        none = len(self.centres)
+        at = np.arange(none)
+        row, centre = np.nonzero((at < home[:, None]) & (cos >= self.halo) | (at == home[:, None]))
+        blocks = self.blocks[centre]
+        block = ((ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % blocks.astype(np.uint64)).astype(np.int64)
+        again = np.repeat(np.arange(len(row)), blocks)
+        other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        own = block[again]
+        return row[again], centre[again], np.minimum(own, other) << 20 | np.maximum(own, other), own, (centre == home[row])[again]
+
+
+def dense_links(x: np.ndarray, copies: np.ndarray, block: np.ndarray, core: np.ndarray, tile: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """As leaf_links, for a pair of blocks (or one with itself) of a dense group: links of which one end is a core vector."""
+    links, parent, weight = np.zeros(len(x), np.int64), np.arange(len(x)), copies.astype(np.float64)
+    b0, b1 = tile >> 20, tile & ((1 << 20) - 1)
+    left, right = (r[np.argsort(~core[r], kind="stable")] for r in (np.flatnonzero(block == b) for b in (b0, b1)))
+    for i0 in range(0, len(left), TILE):
+        for j0 in range(i0 if b0 == b1 else 0, len(right), TILE):
+            i, j = left[i0 : i0 + TILE], right[j0 : j0 + TILE]
+            if not (core[i[0]] or core[j[0]]):
+                continue
+            hit = (x[i] @ x[j].T >= least) & (core[i][:, None] | core[j])
+            if b0 == b1 and i0 == j0:
+                hit = np.triu(hit, 1)
+            if not hit.any():
+                continue
+            h = hit.astype(np.float64)
+            links[i] += np.rint(h @ weight[j]).astype(np.int64)
+            links[j] += np.rint(weight[i] @ h).astype(np.int64)
+            r, c = hit.any(1), hit.any(0)
+            parent = union(np.concatenate((i[r], i[hit.argmax(0)][c])), np.concatenate((j[hit.argmax(1)][r], j[c])), parent)
+            r, c = np.nonzero(hit & (parent[i][:, None] != parent[j]))
+            parent = union(i[r], j[c], parent)
+    return links, parent
+
+
 _LEAF = "tree int, node long, label int, dims int, x long, copies long, vector array<double>, codes array<long>"
 
 
+def _rows(own: pa.RecordBatch, row: np.ndarray, tree: np.ndarray, node: np.ndarray, codes: Callable[[np.ndarray], list]) -> Iterator[pa.RecordBatch]:
+    """The rows ``row`` of ``own`` as batches of _LEAF."""
+    if not len(row):
+        return
+    for at in np.array_split(np.arange(len(row)), max(1, len(row) // 4000)):
+        taken = own.take(pa.array(row[at]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(tree[at].astype(np.int32)), pa.array(node[at]), taken.column("label"), taken.column("dims"), taken.column("x"), taken.column("copies"), taken.column("vector"), pa.array(codes(at), pa.list_(pa.int64()))],
+            names=[c.split()[0] for c in _LEAF.split(", ")],
+        )
+
+
 def embedding_dedup(
     vectors: DataFrame, least: float = 0.93, trees: int = 8, leaf: int = 2048, spill: float = 0.1, sample: int = SAMPLE, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
@@ -120,10 +243,13 @@ def embedding_dedup(
 
     Vectors link if their labels are equal and not null and their cosine, in double precision, is at least
     ``least``. Equal vectors are one class, of which one is compared. A forest is fitted on at most
-    ``sample`` classes and broadcast (``trees`` * ``sample`` / 16 thresholds at most); every class goes to its leaves in
+    ``sample`` classes and broadcast (``trees`` * ``sample`` / 4 thresholds at most); every class goes to its leaves in
     every tree, with spill over thresholds it is near to. Within a leaf all pairs are compared by
     matrix products, tile by tile; a task returns counts and the links of a spanning forest.
-    A pair that no leaf holds is missed: at the threshold, a tree misses about 7 % a level.
+    A pair that no leaf holds is missed; trees are added until that is so of at most MISS of pairs at the threshold.
+
+    Dense groups, which thresholds would cut at most levels, don't enter the forest: classes linked with an eighth
+    of a leaf or more (by the sample) are compared around centres instead, block by block, and lose no link.
 
     Nulls: vectors that are null, zero or hold null or non-finite components link with nothing, and so
     do those without label or vec_id (component_id is then vec_id, kept true). Vectors of different
@@ -151,29 +277,40 @@ def embedding_dedup(
     for r, v in enumerate(drawn):
         points[r, : len(v)] = v
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
-    sent = spark.sparkContext.broadcast(Forest.fit(points, n, trees, leaf, spill, dims, seed))
+    balls = Balls.fit(points, n, leaf, least, seed)
+    rest = points[balls.homes(points)[0] == len(balls.centres)]
+    sent = spark.sparkContext.broadcast((Forest.fit(rest, n * len(rest) // max(1, len(points)), trees, leaf, spill, dims, seed, least), balls))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = sent.value
+        forest, balls = sent.value
         for b in batches:
             sizes = b.column("dims").to_numpy()
             for size in np.unique(sizes):
                 own = b.filter(pa.array(sizes == size))
-                row, tree, node = forest.route(unit(own.column("vector")))
+                x = unit(own.column("vector"))
+                home, cos = balls.homes(x)
+                out = np.flatnonzero(home == len(balls.centres))
+                row, tree, node = forest.route(x[out])
                 # codes of a row: for each leaf, tree * 2^40 + node
                 code = tree.astype(np.int64) << 40 | node
-                cuts = np.searchsorted(row, np.arange(own.num_rows + 1))
-                codes = [code[cuts[r] : cuts[r + 1]] for r in range(own.num_rows)]
-                for at in np.array_split(np.arange(len(row)), max(1, len(row) // 4000)):
-                    taken = own.take(pa.array(row[at]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(tree[at].astype(np.int32)), pa.array(node[at]), taken.column("label"), taken.column("dims"), taken.column("x"), taken.column("copies"), taken.column("vector"), pa.array([codes[r] for r in row[at].tolist()], pa.list_(pa.int64()))],
-                        names=[c.split()[0] for c in _LEAF.split(", ")],
-                    )
+                cuts = np.searchsorted(row, np.arange(len(out) + 1))
+                codes = [code[cuts[r] : cuts[r + 1]] for r in range(len(out))]
+                yield from _rows(own, out[row], tree, node, lambda at, row=row, codes=codes: [codes[r] for r in row[at].tolist()])
+                # in a dense group: its block there, and whether it is a core vector
+                row, centre, tile, block, core = balls.tiles(own.column("x").to_numpy(), home, cos)
+                yield from _rows(own, row, -1 - centre, tile, lambda at, block=block, core=core: np.stack((block[at], core[at]), 1).tolist())
+
+    def found_in(x: np.ndarray, links: np.ndarray, parent: np.ndarray) -> pa.Table:
+        some = np.flatnonzero((links > 0) | (parent != np.arange(len(x))))
+        return pa.table({"x": x[some], "root": x[parent[some]], "links": links[some]})
 
     def compare(table: pa.Table) -> pa.Table:
         x, copies, tree, node = table["x"].to_numpy(), table["copies"].to_numpy(), table["tree"][0].as_py(), table["node"][0].as_py()
         lists = table["codes"].to_pylist()
+        if tree < 0:
+            order, marks = np.argsort(x, kind="stable"), np.array(lists)
+            links, parent = dense_links(unit(table["vector"].combine_chunks())[order], copies[order], marks[order, 0], marks[order, 1] > 0, node, least)
+            return found_in(x[order], links, parent)
         per = [[[c & ((1 << 40) - 1) for c in row if c >> 40 == t] for t in range(tree + 1)] for row in lists]
         wide = max(len(s) for row in per for s in row)
         codes = np.full((len(x), tree + 1, wide), -1, np.int64)
@@ -182,9 +319,7 @@ def embedding_dedup(
                 codes[r, t, : len(s)] = s
         order = np.argsort(x, kind="stable")
         links, parent = leaf_links(unit(table["vector"].combine_chunks())[order], copies[order], codes[order], tree, node, least)
-        x = x[order]
-        some = np.flatnonzero((links > 0) | (parent != np.arange(len(x))))
-        return pa.table({"x": x[some], "root": x[parent[some]], "links": links[some]})
+        return found_in(x[order], links, parent)
 
     routed = classes.select("x", "copies", "label", F.size("vector").alias("dims"), "vector").mapInArrow(route, _LEAF)
     found = materialize(routed.groupBy("tree", "node", "label", "dims").applyInArrow(compare, "x long, root long, links long"))

@@ -38,3 +38,30 @@ def test_against_brute_force(spark, leaf):
     if leaf == 4096:
         assert got == want
     assert embedding_dedup(df.limit(0)).collect() == []
+
+
+def test_hot_group_of_distinct_near_copies(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(64)
+    x = np.concatenate((centre / np.linalg.norm(centre) + rng.standard_normal((2000, 64)) * 0.033, rng.standard_normal((4000, 64)))).astype(np.float32)
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup(df, leaf=128).collect()}
+    assert 200_000 < want.sum() < 2000 * 1999 and [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_forest_grows_with_its_depth():
+    from proxsearch.llm.embedding_dedup import Forest
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal(x.shape)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    forest = Forest.fit(x, 1 << 20, 8, 2048, 0.1, 64, 5, 0.93)
+    assert forest.directions.shape[1] >= 8
+    (r, t, a), (q, s, b) = forest.route(x), forest.route(y)
+    held = {k[0] for k in set(zip(r.tolist(), t.tolist(), a.tolist(), strict=True)) & set(zip(q.tolist(), s.tolist(), b.tolist(), strict=True))}
+    assert len(held) >= 0.997 * len(x)
