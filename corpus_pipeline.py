@@ -18,6 +18,7 @@ from proxsearch.llm.mixing import mix
 from proxsearch.llm.packing import pack
 from proxsearch.llm.quality import good_documents
 from proxsearch.llm.queries import tokenizer_path
+from proxsearch.storage import number_rows
 
 NO_ID = -(1 << 63)
 
@@ -27,12 +28,17 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``gone``; the others aren't moved, but for a few that hash alike."""
-    ids = materialize(gone.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_did")).distinct().withColumn("_k", F.xxhash64("_did")))
+def _without(docs: DataFrame, gone: DataFrame, text: bool = False) -> DataFrame:
+    """``docs`` without the rows whose doc_id, or with ``text`` whose doc_id and text_sha256, are in ``gone``; the others aren't moved, but for a few that hash alike, and those of such an id."""
+    key = ["_did", "_sha"] if text else ["_did"]
+    ids = gone.withColumn("_did", F.coalesce("doc_id", F.lit(NO_ID)))
+    ids = materialize((ids.withColumnRenamed("text_sha256", "_sha") if text else ids).select(*key).distinct().withColumn("_k", F.xxhash64("_did")))
     d = _named(docs).withColumn("_k", F.xxhash64("_did"))
     filt = key_filter(ids, "_k")
-    left = may_pass(d, filt, "_k").join(ids.select("_did").hint("merge"), "_did", "left_anti")
+    near = may_pass(d, filt, "_k")
+    if text:
+        near = near.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    left = near.join(ids.select(*key).hint("merge"), key, "left_anti").drop("_sha")
     return may_pass(d, filt, "_k", False).unionByName(left).select(*docs.columns)
 
 
@@ -43,8 +49,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    judged = materialize(exact_dedup(docs).select("doc_id", "kept"))
-    out = _without(docs, judged.where("NOT kept"))
+    judged = materialize(exact_dedup(docs).select("doc_id", "kept", "text_sha256"))
+    out = _without(docs, judged.where("NOT kept"), text=True)
     twice = judged.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if twice.limit(1).count():
         out = out.dropDuplicates(["doc_id", "text"])
@@ -53,7 +59,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies, by sets of 3-word shingles, the one with the smallest doc_id stays."""
-    return _without(docs, near_dedup(docs, percent=85, n_words=3).where("NOT kept"))
+    named = _named(docs).where("doc_id IS NOT NULL").select("_did", "_th")
+    if not named.groupBy("_did").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return _without(docs, near_dedup(docs, percent=85, n_words=3).where("NOT kept"))
+    # texts that share an id are told apart by numbers in the same order
+    numbers = materialize(number_rows(named.distinct(), ["_did", "_th"], "_n"))
+    numbered = _named(docs).join(numbers.hint("merge"), ["_did", "_th"], "left").withColumn("_n", F.when(F.col("doc_id").isNotNull(), F.col("_n")))
+    numbered = materialize(numbered.select(F.col("_n").alias("doc_id"), F.col("text"), F.struct(*docs.columns).alias("_row")))
+    return _without(numbered, near_dedup(numbered, percent=85, n_words=3).where("NOT kept")).select("_row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

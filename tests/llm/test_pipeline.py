@@ -32,3 +32,15 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in mixed} <= ids and max(sum(1 for r in mixed if r["doc_id"] == d) for d in ids) <= 3
     assert sum(1 for r in packed if r["start"] == 0) == len(mixed) and {r["doc_id"] for r in packed} == {r["doc_id"] for r in mixed}
     assert cp.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_dedup_stages_go_by_id_and_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c, d = (" ".join(w + x for w in words) for x in "abcd")
+    docs = docs_of(spark, [(5, a), (5, b), (9, a), (None, a), (None, c), (None, c), (2, d), (7, d + " more"), (7, c + " x y z " * 40)])
+    exact = cp.exact(spark, docs, "").localCheckpoint()
+    want = [(2, d), (5, b), (7, c + " x y z " * 40), (7, d + " more"), (9, a), (None, c)]
+    assert sorted(((r["doc_id"], r["text"]) for r in exact.collect()), key=str) == sorted(want, key=str)
+    near = cp.near(spark, exact, "")
+    assert near.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=str) == sorted((w for w in want if w != (7, d + " more")), key=str)
