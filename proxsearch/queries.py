@@ -179,10 +179,9 @@ def _canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Three appended batches: all documents' first words, then a third again with other words."""
-    d = _table(spark, sf)
-    first = d.select("doc_id", F.substring("text", 1, 300).alias("text")).where("doc_id % 3 < 2")
-    second = d.select("doc_id", F.substring("text", 200, 300).alias("text")).where("doc_id % 3 > 0")
+    """Two appended batches: all documents, then all again with a word in place of the first."""
+    first = _table(spark, sf).select("doc_id", "text")
+    second = first.withColumn("text", F.regexp_replace("text", r"^\s*\S+", "reindexed"))
     parts = [inverted.build(x).withColumn("segment_id", F.lit(i)) for i, x in enumerate((first, second))]
     return parts[0].unionByName(parts[1])
 

@@ -172,3 +172,18 @@ def test_latest_search(spark):
     assert latest.run(lambda: spark.range(10).count()) == 10
     t.join(60)
     assert len(ended) == 1
+
+
+def test_merge_queries_take_whole_documents(spark, tmp_path):
+    from proxsearch import queries
+
+    texts = {i: " ".join([f"first{'abc'[i % 3]}", *(f"w{'xyz'[k % 3]}{'pqrst'[k % 5]}" for k in range(400)), f"last{'de'[i % 2]}"]).translate(str.maketrans("0123456789", "abcdefghij")) for i in range(6)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("merge_last_wins", "reindex_replace"):
+        got = {(r["term"], r["doc_id"]): r["positions"] for r in queries.queries()[name](spark, str(tmp_path)).collect()}
+        want = {}
+        for i, t in texts.items():
+            old, new = t.split(" "), ["reindexed", *t.split(" ")[1:]]
+            for words in (old, new) if name == "merge_last_wins" else (new,):
+                want |= {(w, i): ",".join(str(k) for k, v in enumerate(words) if v == w) for w in words}
+        assert got == want, name
