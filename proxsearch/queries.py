@@ -213,9 +213,10 @@ def _delta(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    idx = _index(spark, sf, "fold").where(F.size("postings") <= 200)
-    p = F.transform("postings", lambda x: x["position"].cast("long"))
-    return idx.select("term", "doc_id", p.alias("p"), codec.delta_decode(codec.delta_encode(p)).alias("q")).select("term", "doc_id", (F.col("p") == F.col("q")).alias("same"))
+    idx = _index(spark, sf, "fold").select("term", "doc_id", F.transform("postings", lambda x: x["position"].cast("long")).alias("p"))
+    rows = idx.select("term", "doc_id", F.posexplode(F.arrays_zip("p", codec.delta_encode(F.col("p")).alias("d"))).alias("k", "e"))
+    rows = rows.select("term", "doc_id", (F.col("e.p") == codec.delta_decode_rows(F.col("e.d"), ["term", "doc_id"], "k")).alias("same"))
+    return rows.groupBy("term", "doc_id").agg(F.bool_and("same").alias("same"))
 
 
 def _varint(spark: SparkSession, sf: str) -> DataFrame:

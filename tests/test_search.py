@@ -187,3 +187,11 @@ def test_merge_queries_take_whole_documents(spark, tmp_path):
             for words in (old, new) if name == "merge_last_wins" else (new,):
                 want |= {(w, i): ",".join(str(k) for k, v in enumerate(words) if v == w) for w in words}
         assert got == want, name
+
+
+def test_delta_roundtrip_takes_long_lists(spark, tmp_path):
+    from proxsearch import queries
+
+    spark.createDataFrame([(1, "the " * 5000 + "cat"), (2, "the cat the")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in queries.queries()["delta_roundtrip"](spark, str(tmp_path)).collect())
+    assert got == [("cat", 1, True), ("cat", 2, True), ("the", 1, True), ("the", 2, True)]
