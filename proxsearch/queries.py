@@ -317,12 +317,14 @@ def _groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _path_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    asked = _table(spark, sf, "pages").where("page_id % 7 = 0").select(F.col("url").alias("path")).unionByName(spark.createDataFrame([("no/such/path",)], "path string"))
+    asked = _table(spark, sf, "pages").select(F.col("url").alias("path")).unionByName(spark.createDataFrame([("no/such/path",)], "path string"))
     return files.ids_of(asked, _registry(spark, sf))
 
 
 def _id_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return files.paths_of(spark.createDataFrame([(1,), (2,), (100000000,)], "doc_id long"), _registry(spark, sf), "root")
+    registry = _registry(spark, sf)
+    asked = registry.select("doc_id").unionByName(spark.createDataFrame([(100000000,)], "doc_id long"))
+    return files.paths_of(asked, registry, "root")
 
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:

@@ -195,3 +195,14 @@ def test_delta_roundtrip_takes_long_lists(spark, tmp_path):
     spark.createDataFrame([(1, "the " * 5000 + "cat"), (2, "the cat the")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(tuple(r) for r in queries.queries()["delta_roundtrip"](spark, str(tmp_path)).collect())
     assert got == [("cat", 1, True), ("cat", 2, True), ("the", 1, True), ("the", 2, True)]
+
+
+def test_lookups_ask_for_every_path_and_id(spark, tmp_path):
+    from proxsearch import queries
+
+    urls = [f"site/{c}.html" for c in "abcdefgh"]
+    spark.createDataFrame(list(enumerate(urls, 1)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    paths = {r["path"]: r["doc_id"] for r in queries.queries()["path_lookup"](spark, str(tmp_path)).collect()}
+    assert paths == {u: i for i, u in enumerate(urls, 1)} | {"no/such/path": -1}
+    ids = {r["doc_id"]: r["path"] for r in queries.queries()["id_lookup"](spark, str(tmp_path)).collect()}
+    assert ids == {i: "root/" + u for i, u in enumerate(urls, 1)} | {100000000: None}
