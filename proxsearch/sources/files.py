@@ -86,7 +86,8 @@ def html_items(results: DataFrame) -> DataFrame:
     return results.select("doc_id", "path", F.explode("snippets").alias("snippet")).select("doc_id", item.alias("item"))
 
 
-def to_html(results: DataFrame, limit: int = 1000) -> str:
-    """A right-to-left page of the first ``limit`` snippets, for people to read."""
-    items = [r["item"] for r in html_items(results).orderBy("doc_id").limit(limit).collect()]
+def to_html(results: DataFrame, limit: int | None = None) -> str:
+    """A right-to-left page of all snippets, or the first ``limit``, for people to read."""
+    items = html_items(results).orderBy("doc_id")
+    items = [r["item"] for r in (items if limit is None else items.limit(limit)).collect()]
     return "<html dir='rtl'><body><ol>" + "".join(items) + "</ol></body></html>"

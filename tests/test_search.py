@@ -206,3 +206,8 @@ def test_lookups_ask_for_every_path_and_id(spark, tmp_path):
     assert paths == {u: i for i, u in enumerate(urls, 1)} | {"no/such/path": -1}
     ids = {r["doc_id"]: r["path"] for r in queries.queries()["id_lookup"](spark, str(tmp_path)).collect()}
     assert ids == {i: "root/" + u for i, u in enumerate(urls, 1)} | {100000000: None}
+
+
+def test_html_page_has_every_snippet(spark):
+    page = files.to_html(spark.createDataFrame([(1, "r/a.txt", ["x"] * 1500)], "doc_id long, path string, snippets array<string>"))
+    assert page.count("<li>") == 1500
