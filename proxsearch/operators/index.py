@@ -11,7 +11,7 @@ from ..functions.snippets import snippets as snippet_column
 from ..functions.text import is_blank, tokens
 from ..plans.query import Query, expansion, search
 from ..schemas import TOKENS
-from ..storage import filesystem, read_text, write_text
+from ..storage import filesystem, newest_text, put_numbered
 from .inverted import bucket, group_tokens, merge_last_wins, merge_replace, vocabulary
 
 MERGES = {"replace": merge_replace, "term_last_wins": merge_last_wins}
@@ -28,13 +28,16 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, tag_mode: str = "clean", case: str = "first_spelling", merge_policy: str = "replace"):
         self.spark, self.path = spark, path.rstrip("/")
-        text = read_text(spark, f"{self.path}/manifest.json")
-        self.state = json.loads(text) if text else {"buckets": buckets, "tag_mode": tag_mode, "case": case, "merge_policy": merge_policy, "segments": [], "deletes": [], "next": 0}
+        text = newest_text(spark, f"{self.path}/manifests")
+        self.state = json.loads(text) if text else {"buckets": buckets, "tag_mode": tag_mode, "case": case, "merge_policy": merge_policy, "segments": [], "deletes": [], "next": 0, "version": 0}
         if self.state["merge_policy"] not in MERGES:
             raise ValueError(f"merge_policy: {self.state['merge_policy']!r}")
 
-    def _save(self) -> None:
-        write_text(self.spark, f"{self.path}/manifest.json", json.dumps(self.state))
+    def _commit(self, **new: object) -> None:
+        """The next manifest; fails, and changes nothing, if another writer was faster."""
+        state = self.state | new | {"version": self.state["version"] + 1}
+        put_numbered(self.spark, f"{self.path}/manifests", state["version"], json.dumps(state))
+        self.state = state
 
     def _write(self, rows: DataFrame, segment: int) -> None:
         n = self.state["buckets"]
@@ -42,25 +45,19 @@ class Index:
         # hot terms are many rows of one bucket: AQE splits what a rebalance makes too large
         rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/tokens/{segment}")
 
-    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: int | None = None) -> int:
-        """Indexes ``docs`` as a new segment and returns its number; a segment number already there is left as it is."""
-        number = self.state["next"] if segment is None else segment
-        if number in self.state["segments"]:
-            return number
+    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **also: object) -> int:
+        """Indexes ``docs`` as a new segment and returns its number; ``also`` enters the manifest in the same step."""
+        number = self.state["next"]
         some = docs.where(~is_blank(F.col(text_col)))
         self._write(group_tokens(tokens(some, id_col, text_col, self.state["tag_mode"]), self.state["case"]), number)
-        self.state["segments"].append(number)
-        self.state["next"] = max(self.state["next"], number + 1)
-        self._save()
+        self._commit(segments=[*self.state["segments"], number], next=number + 1, **also)
         return number
 
     def delete(self, ids: DataFrame) -> None:
         """Takes the documents of ``ids`` (doc_id) out of all present segments; unknown ids are ignored."""
         number = self.state["next"]
         ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().write.mode("overwrite").parquet(f"{self.path}/deletes/{number}")
-        self.state["deletes"].append(number)
-        self.state["next"] = number + 1
-        self._save()
+        self._commit(deletes=[*self.state["deletes"], number], next=number + 1)
 
     def tokens(self) -> DataFrame:
         """(term, doc_id, postings, bucket) as of now."""
@@ -86,8 +83,7 @@ class Index:
             return
         number = self.state["next"]
         self._write(self.tokens(), number)
-        self.state |= {"segments": [number], "deletes": [], "next": number + 1}
-        self._save()
+        self._commit(segments=[number], deletes=[], next=number + 1)
         for name in old:
             fs, where = filesystem(self.spark, f"{self.path}/{name}")
             fs.delete(where, True)

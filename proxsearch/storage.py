@@ -51,15 +51,28 @@ def filesystem(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replaces a small file in one step."""
-    fs, where = filesystem(spark, path)
-    _, part = filesystem(spark, f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(part, True)
+def put_numbered(spark: SparkSession, folder: str, number: int, text: str) -> None:
+    """A new small file, complete or not there at all; an error if ``number`` is there already, so of two writers one fails."""
+    fs, place = filesystem(spark, f"{folder}/{number:012d}.json")
+    _, part = filesystem(spark, f"{folder}/.{uuid.uuid4().hex}.tmp")
+    out = fs.create(part, False)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(where, False)
-    fs.rename(part, where)
+    try:
+        done = not fs.exists(place) and fs.rename(part, place)
+    finally:
+        fs.delete(part, False)
+    if not done:
+        raise RuntimeError(f"{place} was written by another")
+
+
+def newest_text(spark: SparkSession, folder: str) -> str | None:
+    """The file of the highest number of put_numbered; None if there is none."""
+    fs, where = filesystem(spark, folder)
+    if not fs.exists(where):
+        return None
+    names = sorted(n for s in fs.listStatus(where) if (n := s.getPath().getName()).endswith(".json"))
+    return read_text(spark, f"{folder}/{names[-1]}") if names else None
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

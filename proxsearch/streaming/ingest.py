@@ -9,17 +9,13 @@ from ..operators.index import Index
 
 
 def index_stream(docs: DataFrame, index: Index, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", compact_every: int = 25, **trigger: object) -> StreamingQuery:
-    """Starts indexing the streaming ``docs``. The number of a batch is that of its segment, so a batch that is
-    tried again after a failure isn't indexed twice; every ``compact_every`` segments the index is compacted."""
-    base = index.state.setdefault("stream_base", index.state["next"])
+    """Starts indexing the streaming ``docs``. The manifest names a batch's segment and the batch's number in one step, so a
+    batch that is tried again after a failure isn't indexed twice; every ``compact_every`` segments the index is compacted."""
 
     def add(batch: DataFrame, number: int) -> None:
-        done = index.state.get("stream_done", -1)
-        if number <= done:
+        if number <= index.state.get("stream_done", -1):
             return
-        index.append(batch, id_col, text_col, segment=max(base + number, index.state["next"]))
-        index.state["stream_done"] = number
-        index._save()
+        index.append(batch, id_col, text_col, stream_done=number)
         if len(index.state["segments"]) >= compact_every:
             index.compact()
 
