@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 1000
 
 
-def pick(df: DataFrame, **want: str) -> DataFrame:
-    """The columns named by ``want`` (new name = old name), and no other.
+def by_place(df: DataFrame, **want: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named by place, c0, c1, ..., and the names there of those in ``want``.
 
     Columns are found by exact name first, then without regard to case; of several of one name
     the first counts. Other columns, whatever their names, can't clash with an operator's own.
@@ -26,24 +26,33 @@ def pick(df: DataFrame, **want: str) -> DataFrame:
     spots = {}
     for new, old in want.items():
         if old in names:
-            spots[new] = names.index(old)
+            spots[new] = f"c{names.index(old)}"
         elif old.lower() in folded:
-            spots[new] = folded.index(old.lower())
+            spots[new] = f"c{folded.index(old.lower())}"
         else:
             raise ValueError(f"no column {old!r} among {names}")
-    by_place = df.toDF(*[f"c{i}" for i in range(len(names))])
-    return by_place.select(*[F.col(f"c{i}").alias(new) for new, i in spots.items()])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), spots
+
+
+def pick(df: DataFrame, **want: str) -> DataFrame:
+    """The columns named by ``want`` (new name = old name), found as by_place does, and no other."""
+    placed, spots = by_place(df, **want)
+    return placed.select(*[F.col(c).alias(new) for new, c in spots.items()])
 
 
-#: Texts handed to Python at once, so that a worker's memory doesn't grow with their lengths too much.
-ARROW_ROWS = 500
+#: Rows and bytes handed to Python at once, so that a worker's memory doesn't grow with the texts' lengths; a longer text comes alone.
+ARROW_ROWS, ARROW_BYTES = 500, 32 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of ARROW_ROWS rows, unless the session has a setting of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Arrow batches of ARROW_ROWS rows and about ARROW_BYTES, unless the session has settings of its own.
+
+    Plans read these settings when they run, which is after the operator has returned, so they stay set.
+    """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,11 +79,21 @@ def _own_dir() -> str:
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, and survives lost executors."""
+    """Write to the shared folder and read again: cuts lineage, and survives lost executors. discard() frees it."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no plan reads any more; those that a returned plan reads stay."""
+    for t in tables:
+        if path := getattr(t, "_shared_path", None):
+            delete(t.sparkSession, path)
+            t._shared_path = None
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Substring dedup with a log-structured index of fingerprints.
+"""Substring dedup with a log-structured index of window fingerprints.
 
 A window is ``window`` consecutive words of one document. Of the q-grams in a window (q a third of it), the
 one of least hash is its fingerprint, so equal windows have equal fingerprints at equal places, while
@@ -8,6 +8,8 @@ only about 2 / (window - q) of all positions are stored.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BITS, delete, join_unique, key_filter, materialize, may_pass, partitions, pick, shared_dir
+from ..storage import newest_text, put_numbered
+from .common import delete, discard, join_unique, key_filter, materialize, may_pass, partitions, pick, shared_dir
 from .words import Words, grams, words
 
 NO_ID = -(1 << 63)
-_FINGERPRINT = "f long, did long, n long"
 
 
 def gram_size(window: int) -> int:
@@ -45,6 +47,7 @@ def minimizers(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, and what names the row: did (doc_id, or a constant for null) and th (hash of the text)."""
     d = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return d.withColumns({"did": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64("text")})
 
@@ -62,164 +65,184 @@ def _chunk_minimizers(chunk: Words, window: int) -> tuple[np.ndarray, np.ndarray
     return start, g[at], at
 
 
-def fingerprints(docs: DataFrame, window: int) -> DataFrame:
-    """(f, did, n): each fingerprint of each document and at how many places it has it."""
+_BODY_BYTES = 16 << 20
+_SEGMENT = "f long, did long, th long, start int, size int, body string"
+
+
+def segments(docs: DataFrame, window: int) -> DataFrame:
+    """One row for each stretch of consecutive windows that share a fingerprint's place: the fingerprint, the
+    first window's word, the number of windows, and all their words, joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dids = b.column("did").to_numpy()
+            dids, ths = b.column("did").to_numpy(), b.column("th").to_numpy()
             for chunk in words(b.column("text")):
                 start, f, at = _chunk_minimizers(chunk, window)
-                new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else at
-                # one row for each distinct fingerprint of a document
-                row = np.searchsorted(chunk.first, start[new], "right") - 1
-                order = np.lexsort((f[new], row))
-                r, h = row[order], f[new][order]
-                first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])))) if len(h) else order
-                n = np.diff(np.append(first, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(dids[chunk.row + r[first]]), pa.array(n, pa.int64())], names=["f", "did", "n"])
+                if not len(start):
+                    continue
+                row = np.searchsorted(chunk.first, start, "right") - 1
+                first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (row[1:] != row[:-1]))))
+                ends = np.append(first[1:], len(start))
+                r, lo = row[first], start[first]
+                text, places = joined(chunk)
+                i, j = places[lo], places[start[ends - 1] + window] - 1
+                cols = [f[first].view(np.int64), dids[chunk.row + r], ths[chunk.row + r], (lo - chunk.first[r]).astype(np.int32), (ends - first).astype(np.int32)]
+                part = np.cumsum(j - i) // _BODY_BYTES  # a very long text gives several batches
+                for k in np.split(np.arange(len(i)), np.flatnonzero(np.diff(part)) + 1):
+                    body = [text[x:y] for x, y in zip(i[k].tolist(), j[k].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[k]) for c in cols), pa.array(body, pa.binary()).cast(pa.string())], names=[c.split()[0] for c in _SEGMENT.split(", ")])
 
-    return docs.select("did", "text").mapInArrow(run, _FINGERPRINT)
+    return docs.select("did", "th", "text").mapInArrow(run, _SEGMENT)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints, (f, did, n), under one folder of shared storage.
-
-    ``add`` writes a batch as a new run; runs are bucketed by f and sorted in each bucket, so ``joined``
-    merges them without moving them. ``compact`` merges all runs into one. The list of runs is a file
-    written anew each time, so a failed ``add`` or ``compact`` leaves the index as it was.
+    """Log-structured index under one folder of shared storage.
+
+    ``add`` takes a batch: its segments are stored as they are, and its fingerprints, counted, become a new
+    immutable run, bucketed and sorted. The new run is merge-joined with those before, bucket by bucket, nothing
+    moves; fingerprints that thereby reach two places are the batch's hits. From ``fanout`` runs on they
+    are compacted into one, by the same merge. So history's texts are never read again: its stored segments
+    tell fingerprints and words. What counts is named in a manifest, numbered, of which the newest
+    is valid; a failed or repeated step leaves the index as it was, and a new object on ``path`` finds all of it.
+    One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, window: int, buckets: int | None = None):
-        self.spark, self.path, self.window = spark, path, window
-        self.buckets = buckets or partitions(spark)
-        self.runs: list[str] = []
-
-    def _write(self, df: DataFrame) -> str:
-        place = shared_dir(self.spark)
-        name = "run_" + place.rpartition("/")[2]
-        df.repartition(self.buckets, "f").write.bucketBy(self.buckets, "f").sortBy("f", "did").option("path", f"{self.path}/{name}").format("parquet").option("compression", "zstd").saveAsTable(name)
+    def __init__(self, spark: SparkSession, path: str, window: int, buckets: int | None = None, fanout: int = 2):
+        self.spark, self.path = spark, path.rstrip("/")
+        text = newest_text(spark, f"{self.path}/manifests")
+        self.state = json.loads(text) if text else {"window": window, "buckets": buckets or partitions(spark), "fanout": fanout, "number": 0, "runs": [], "batches": [], "hits": []}
+        if self.state["window"] != window:
+            raise ValueError(f"{path} is an index of windows of {self.state['window']} words")
+
+    def _commit(self, **new: object) -> None:
+        state = self.state | new | {"number": self.state["number"] + 1}
+        put_numbered(self.spark, f"{self.path}/manifests", state["number"], json.dumps(state))
+        self.state = state
+
+    def _table(self, name: str) -> str:
+        """A session table over a run, whose buckets Spark then knows; it doesn't own the files."""
+        table = f"run_{name}_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {table} (f BIGINT, n BIGINT) USING parquet CLUSTERED BY (f) SORTED BY (f) INTO {self.state['buckets']} BUCKETS LOCATION '{self.path}/runs/{name}'")
+        return table
+
+    def _write_run(self, counts: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        table, n = f"new_{name}", self.state["buckets"]
+        try:
+            counts.repartition(n, "f").write.bucketBy(n, "f").sortBy("f").option("path", f"{self.path}/runs/{name}").format("parquet").option("compression", "zstd").saveAsTable(table)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")  # the files stay
         return name
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """A new run of ``docs`` (did, text); returns it."""
-        self.runs.append(self._write(fingerprints(docs, self.window)))
-        return self.run(-1)
-
-    def run(self, i: int) -> DataFrame:
-        return self.spark.table(self.runs[i])
-
-    def repeated(self) -> DataFrame:
-        """(f): fingerprints at two or more places of all runs, each counted within its sorted run and the counts merge-joined."""
-        merged = None
-        for i in range(len(self.runs)):
-            counts = self.run(i).groupBy("f").agg(F.sum("n").alias("n"))
-            if merged is None:
-                merged = counts
+    def merged(self, runs: list[str], tables: list[str]) -> DataFrame:
+        """(f, n, last): places of each fingerprint over ``runs``, and in the last of them, by merging the sorted runs."""
+        out = None
+        for name in runs:
+            tables.append(self._table(name))
+            own = self.spark.table(tables[-1])
+            if out is None:
+                out = own.select("f", "n", F.col("n").alias("last"))
             else:
-                other = counts.withColumnRenamed("n", "m")
-                merged = merged.join(other.hint("merge"), "f", "full").select("f", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
-        return merged.where("n > 1").select("f")
+                other = own.select("f", F.col("n").alias("m"))
+                out = out.join(other.hint("merge"), "f", "full").select("f", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce("m", F.lit(0)).alias("last"))
+        return out
+
+    def add(self, docs: DataFrame) -> str:
+        """A batch of documents (did, th, text), those of earlier batches excepted; returns its name."""
+        name = uuid.uuid4().hex
+        segments(docs, self.state["window"]).write.option("compression", "zstd").parquet(f"{self.path}/segments/{name}")
+        runs, tables = [*self.state["runs"], self._write_run(self.segments([name]).groupBy("f").agg(F.count(F.lit(1)).alias("n")))], []
+        try:
+            self.merged(runs, tables).where("n > 1 AND last > 0").select("f").write.parquet(f"{self.path}/hits/{name}")
+        finally:
+            for t in tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self._commit(runs=runs, batches=[*self.state["batches"], name], hits=[*self.state["hits"], name])
+        if len(self.state["runs"]) >= self.state["fanout"]:
+            self.compact()
+        return name
+
+    def segments(self, batches: list[str] | None = None) -> DataFrame:
+        names = self.state["batches"] if batches is None else batches
+        paths = [f"{self.path}/segments/{b}" for b in names]
+        return self.spark.read.schema(_SEGMENT).parquet(*paths) if paths else self.spark.createDataFrame([], _SEGMENT)
+
+    def hits(self, batches: list[str] | None = None) -> DataFrame:
+        """(f): fingerprints met twice or more, that ``batches`` (all, if not given) brought there or met again."""
+        names = self.state["hits"] if batches is None else batches
+        paths = [f"{self.path}/hits/{b}" for b in names]
+        return self.spark.read.schema("f long").parquet(*paths) if paths else self.spark.createDataFrame([], "f long")
 
     def compact(self) -> None:
-        """All runs as one; the old ones go once the new one is complete."""
-        if len(self.runs) < 2:
+        """All runs as one; the old ones go once the manifest names the new one."""
+        old, tables = self.state["runs"], []
+        if len(old) < 2:
             return
-        every = self.run(0)
-        for i in range(1, len(self.runs)):
-            every = every.unionByName(self.run(i))
-        old, self.runs = self.runs, [self._write(every)]
+        try:
+            new = self._write_run(self.merged(old, tables).select("f", "n"))
+        finally:
+            for t in tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self._commit(runs=[new])
         for name in old:
-            self.spark.sql(f"DROP TABLE {name}")
-            delete(self.spark, f"{self.path}/{name}")
+            delete(self.spark, f"{self.path}/runs/{name}")
 
     def drop(self) -> None:
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         delete(self.spark, self.path)
 
 
-_SEGMENT = "f long, seg long, did long, th long, start int, windows binary"
-
-
-def segments(docs: DataFrame, filt: DataFrame, window: int) -> DataFrame:
-    """One row for each stretch of windows that share a fingerprint's place, if the fingerprint may be repeated.
-
-    ``seg`` hashes the windows and where they lie about the fingerprint; ``windows`` holds their
-    64-bit hashes, in order, each with its place mixed in. ``filt`` is a key_filter: 8 MB at most.
-    """
-    rows = filt.collect()
-    bits = np.zeros(BITS // 8, np.uint8)
-    for r in rows:
-        raw = np.frombuffer(bytes(r["_bits"]), np.uint8)
-        at = (r["_bucket"] - 1) * 4096
-        bits[at : at + len(raw)] = raw
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+def _windows(window: int):
+    """A variant's windows, one row each, named by 128 bits of a cryptographic hash of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for b in batches:
-            dids, ths = b.column("did").to_numpy(), b.column("th").to_numpy()
-            for chunk in words(b.column("text")):
-                start, f, at = _chunk_minimizers(chunk, window)
-                slot = f & np.uint64(BITS - 1)
-                keep = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-                if not len(keep):
-                    continue
-                whole = grams(chunk.hashes, window, 22)[start[keep]] + (at - start)[keep].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                at, s, f = at[keep], start[keep], f[keep]
-                row = np.searchsorted(chunk.first, s, "right") - 1
-                first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (row[1:] != row[:-1]) | (s[1:] != s[:-1] + 1))))
-                ends = np.append(first[1:], len(s))
-                place = np.arange(len(s)) - np.repeat(first, ends - first)
-                seg = np.add.reduceat(whole * (np.uint64(2) * place.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93)), first) + (ends - first).astype(np.uint64)
-                blob = whole.tobytes()
-                r = row[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(f[first].view(np.int64)), pa.array(seg.view(np.int64)), pa.array(dids[chunk.row + r]), pa.array(ths[chunk.row + r]), pa.array((s[first] - chunk.first[r]).astype(np.int32)), pa.array([blob[8 * x : 8 * y] for x, y in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())],
-                    names=["f", "seg", "did", "th", "start", "windows"],
-                )
+            places, names, times = [], [], []
+            for text, size in zip(b.column("body").to_pylist(), b.column("size").to_pylist(), strict=True):
+                raw = text.encode()
+                ends = np.flatnonzero(np.frombuffer(raw + b" ", np.uint8) == 0x20).tolist()
+                starts = [0, *(e + 1 for e in ends)]
+                names += [hashlib.blake2b(raw[starts[i] : ends[i + window - 1]], digest_size=16).digest() for i in range(size)]
+                places += range(size)
+                times.append(size)
+            w = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            cols = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), times) for c in ("f", "s1", "s2", "n")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(places, pa.int32())], names=["f", "s1", "s2", "n", "w1", "w2", "i"])
 
-    return docs.select("did", "th", "text").mapInArrow(run, _SEGMENT)
-
-
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A variant's windows, one row each."""
-    for b in batches:
-        blobs = b.column("windows").to_pylist()
-        sizes = np.array([len(x) // 8 for x in blobs], np.int64)
-        w = np.frombuffer(b"".join(blobs), np.int64)
-        i = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        cols = [np.repeat(b.column(c).to_numpy(), sizes) for c in ("f", "seg", "n")]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(w), pa.array(i.astype(np.int32))], names=["f", "seg", "n", "w", "i"])
+    return run
 
 
-def repeated_windows(docs: DataFrame, filt: DataFrame, window: int) -> DataFrame:
+def repeated_windows(found: DataFrame, window: int) -> tuple[DataFrame, list[DataFrame]]:
     """(did, th, start, mask): bit i of mask says that the window at word start + i of the document is elsewhere too.
 
-    Segments that are alike count as one variant of their fingerprint. Where a fingerprint has one variant
-    only, that decides for all its windows. Else the windows of the variants are counted against each
-    other, each with its variant's number of copies: windows are equal if fingerprint and window hash, 128
-    bits together, and the place are equal. Hot variants and hot windows meet in partial aggregates.
+    ``found``: segments whose fingerprint may be repeated, of which those that are ``own`` are judged. Those of equal words (by SHA-256) are one variant of
+    their fingerprint. A variant met twice decides for all its windows where it is its fingerprint's only
+    one. Where there are several, the windows of one specimen each are counted against each other, by a
+    hash of their words, each with its variant's number of copies. So every decision is about words, once a
+    variant, not about fingerprints. Hot variants and hot windows meet in partial aggregates. Also returns
+    the tables that the result reads.
     """
-    found = materialize(segments(docs, filt, window))
+    digest = F.sha2("body", 256)
+    half = lambda at: F.conv(F.substring("_d", at, 16), 16, -10).cast("long")
+    found = found.withColumn("_d", digest).withColumns({"s1": half(1), "s2": half(17)}).drop("_d")
+    found = materialize(found)
+    key = ["f", "s1", "s2"]
     n_found = found.count()
-    variants = materialize(found.groupBy("f", "seg").agg(F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows")))
-    per = variants.groupBy("f").agg(F.count(F.lit(1)).alias("v"))
-    several = per.where("v > 1").select("f", "v")
-    size = F.shiftright(F.octet_length("windows"), 3)
-    every = (F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1).alias("mask")
-    filt2 = key_filter(several, "f")
-    total = variants.count()
-    mixed = materialize(join_unique(may_pass(variants, filt2, "f"), several, ["f"], "v", total, "inner").select("f", "seg", "n", "windows"))
-    alone = variants.where("n > 1").join(mixed.select("f", "seg").hint("merge"), ["f", "seg"], "left_anti").select("f", "seg", "n", every)
-    wide = mixed.mapInArrow(_explode, "f long, seg long, n long, w long, i int")
-    counts = wide.groupBy("f", "w").agg(F.sum("n").alias("all_"), F.count(F.lit(1)).alias("m")).where("all_ > 1")
-    counts = materialize(counts)
-    hit = join_unique(wide, counts, ["f", "w"], "m", total * (window + 1), "inner")
-    masks = hit.groupBy("f", "seg").agg(F.max("n").alias("n"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias("mask"))
+    variants = materialize(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")))
+    several = materialize(variants.groupBy("f").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("w")).where("v > 1"))
+    filt = key_filter(several, "f")
+    every = (F.call_function("shiftleft", F.lit(1).cast("long"), F.col("size")) - 1).alias("mask")
+    # a fingerprint that the filter lets pass without need is only decided the longer way
+    alone = may_pass(variants.where("n > 1"), filt, "f", False).select(*key, "n", every)
+    bodies = may_pass(found, filt, "f").groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("body").alias("body"))
+    wide = materialize(bodies.mapInArrow(_windows(window), "f long, s1 long, s2 long, n long, w1 long, w2 long, i int"))
+    same = ["f", "w1", "w2"]
+    counts = materialize(wide.groupBy(*same).agg(F.sum("n").alias("all_"), F.count(F.lit(1)).alias("m")).where("all_ > 1").drop("all_"))
+    hit = join_unique(wide, counts, same, "m", wide.count(), "inner")
+    masks = hit.groupBy(*key).agg(F.max("n").alias("n"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias("mask"))
     known = materialize(alone.unionByName(masks))
-    return join_unique(found.select("f", "seg", "did", "th", "start"), known, ["f", "seg"], "n", n_found, "inner").select("did", "th", "start", "mask")
+    discard(variants, several, wide, counts)
+    out = join_unique(found.where("own").select(*key, "did", "th", "start"), known, key, "n", n_found, "inner").select("did", "th", "start", "mask")
+    return out, [found, known]
 
 
 def _cover(window: int):
@@ -241,16 +264,18 @@ def _cover(window: int):
                     keep = np.cumsum(depth[:-1]) == 0
                     n.append(hi - lo)
                     gone.append(int((~keep).sum()))
-                    sha.append(hashlib.sha256(kept_text(chunk, lo + np.flatnonzero(keep))).hexdigest())
+                    sha.append(hashlib.sha256(joined(chunk, lo + np.flatnonzero(keep))[0]).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
-def kept_text(chunk: Words, kept: np.ndarray) -> bytes:
-    """The words ``kept`` of a chunk, joined by one space."""
+def joined(chunk: Words, kept: np.ndarray | None = None) -> tuple[bytes, np.ndarray]:
+    """The words of a chunk, or ``kept`` of them, joined by one space; and where each begins, with the end and one more."""
+    if kept is None:
+        kept = np.arange(len(chunk.starts))
     if not len(kept):
-        return b""
+        return b"", np.zeros(1, np.int64)
     s, e = chunk.starts[kept], chunk.ends[kept]
     size = e - s + 1
     to = np.cumsum(size)
@@ -258,15 +283,16 @@ def kept_text(chunk: Words, kept: np.ndarray) -> bytes:
     at[to - 1] = 0
     out = chunk.raw[at]
     out[to - 1] = 0x20
-    return out[:-1].tobytes()
+    return out[:-1].tobytes(), np.concatenate(([0], to))
 
 
-def substring_digest(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+def substring_digest(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", index: FingerprintIndex | None = None, batches: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256.
 
     A word goes if a window covers it whose words, in order, also start anywhere else, in another document
-    or the same; windows are judged on the input. With an ``index``, the fingerprints of ``docs`` become a
-    new run and are merge-joined with those of earlier batches, whose documents are ``history``.
+    or the same; windows are judged on the input. With an ``index``, ``docs`` are its next batch and are judged
+    against all earlier ones (whose own results don't change). Without, a temporary one takes ``docs`` in ``batches``,
+    told apart by a hash of the row, merge-joins and compacts them, and all are judged against all.
 
     Nulls: a null text has no words; a null doc_id is an id of its own. Texts under ``window`` words lose
     nothing. Rows that repeat both doc_id and text are copies of each other. Long texts are whole. Empty
@@ -275,14 +301,19 @@ def substring_digest(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     spark = docs.sparkSession
     d = _rows(docs, id_col, text_col)
     own = index is None
-    index = index or FingerprintIndex(spark, shared_dir(spark), window)
-    index.add(d)
-    filt = materialize(key_filter(index.repeated(), "f"))
+    if own:
+        index = FingerprintIndex(spark, shared_dir(spark), window)
+        names = [index.add(d.where(F.pmod(F.xxhash64("did", "th"), F.lit(batches)) == k)) for k in range(batches)]
+    else:
+        names = [index.add(d)]
+    filt = materialize(key_filter(index.hits(names), "f"))
+    earlier = [b for b in index.state["batches"] if b not in names]
+    every = index.segments(names).withColumn("own", F.lit(True)).unionByName(index.segments(earlier).withColumn("own", F.lit(False)))
+    judged, used = repeated_windows(may_pass(every, filt, "f"), window)
+    marks = materialize(judged.groupBy("did", "th").agg(F.collect_set(F.struct("start", "mask")).alias("marks")))
+    discard(filt, *used)
     if own:
         index.drop()
-    every = d if history is None else d.unionByName(_rows(history, id_col, text_col))
-    marks = repeated_windows(every, filt, window).groupBy("did", "th").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
-    marks = materialize(marks)
     touched = key_filter(marks, "th")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     cut = may_pass(d, touched, "th").join(marks.hint("merge"), ["did", "th"], "left").select("doc_id", "text", "marks")

@@ -12,25 +12,25 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20240607))
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BYTE[_IS_WHITE] = 0
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Start, and multipliers, of two independent hashes.
+_STREAMS = ((0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB), (0xD1B54A32D192ED03, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 _MASK = (1 << 64) - 1
-_BASE = _U(0x9E3779B97F4A7C15)
 #: Bytes of text handled at once; a longer text is handled alone, whole.
 CHUNK = 2 << 20
 
 
-def mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray, stream: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
+    _, first, second = _STREAMS[stream]
     x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
+    x *= _U(first)
     x ^= x >> _U(27)
-    x *= _U(0x94D049BB133111EB)
+    x *= _U(second)
     x ^= x >> _U(31)
     return x
 
@@ -55,20 +55,32 @@ class Words:
     def text(self, k: int) -> bytes:
         return self.raw[self.starts[k] : self.ends[k]].tobytes()
 
+    def second(self) -> np.ndarray:
+        """Hashes of the words that are independent of ``hashes``."""
+        return word_hashes(self.raw, self.starts, self.ends, 1)
 
-_POWERS = np.ones(1, np.uint64)
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, stream: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word, 8 bytes a step, all words side by side; no sum or polynomial of the bytes.
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    while len(_POWERS) < n:
-        step = _U(int(_POWERS[-1]) * int(_BASE) & _MASK)
-        _POWERS = np.concatenate((_POWERS, _POWERS * step))
-    return _POWERS
+    Words of at most 8 bytes differ in it if they are as long as each other.
+    """
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    lanes = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    size = ends - starts
+    out = size.astype(np.uint64) * _U(_STREAMS[stream][0])
+    at = np.arange(len(starts))
+    step = 0
+    while len(at):
+        lane = np.ascontiguousarray(lanes[starts[at] + step]).view("<u8")[:, 0] & _MASKS[np.minimum(size[at] - step, 8)]
+        out[at] = mix(out[at] ^ lane, stream)
+        step += 8
+        at = at[size[at] > step]
+    return out
 
 
 def words(texts: pa.Array, fold: bool = False) -> Iterator[Words]:
-    """``texts``, without nulls, in chunks of near CHUNK bytes; ``fold``: A-Z hash as a-z."""
+    """``texts``, without nulls, in chunks of near CHUNK bytes; ``fold``: A-Z count as a-z."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if not pa.types.is_large_string(texts.type):
@@ -79,11 +91,12 @@ def words(texts: pa.Array, fold: bool = False) -> Iterator[Words]:
     row = 0
     while row < len(texts):
         to = max(row + 1, int(np.searchsorted(offs, offs[row] + CHUNK, "right")) - 1)
-        yield _chunk(row, raw_all[offs[row] : offs[to]], offs[row : to + 1] - offs[row], _FOLDED if fold else _BYTE)
+        raw = raw_all[offs[row] : offs[to]]
+        yield _chunk(row, _LOWER[raw] if fold else raw, offs[row : to + 1] - offs[row])
         row = to
 
 
-def _chunk(row: int, raw: np.ndarray, offs: np.ndarray, table: np.ndarray) -> Words:
+def _chunk(row: int, raw: np.ndarray, offs: np.ndarray) -> Words:
     n = len(raw)
     white = _IS_WHITE[raw]
     cut = np.zeros(n + 1, bool)
@@ -94,29 +107,20 @@ def _chunk(row: int, raw: np.ndarray, offs: np.ndarray, table: np.ndarray) -> Wo
     after = np.ones(n, bool)
     after[:-1] = white[1:]
     ends = np.flatnonzero(~white & (after | cut[1:])) + 1
-    if len(starts):
-        lengths = np.diff(np.append(starts, n))
-        within = np.arange(n - starts[0]) - np.repeat(starts - starts[0], lengths)
-        power = _powers(int((ends - starts).max()))
-        terms = table[raw[starts[0] :]] * power[np.minimum(within, len(power) - 1)]
-        hashes = mix(np.add.reduceat(terms, starts - starts[0]) + (ends - starts).astype(np.uint64))
-    else:
-        hashes = np.zeros(0, np.uint64)
-    return Words(row, np.searchsorted(starts, offs), hashes, starts, ends, raw)
-
-
-def grams(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """Hash of each run of ``n`` consecutive words."""
-    count = max(0, len(hashes) - n + 1)
-    out = np.zeros(count, np.uint64)
-    base = 0xD6E8FEB86659FD93 * (2 * seed + 1) & _MASK | 1
+    return Words(row, np.searchsorted(starts, offs), word_hashes(raw, starts, ends), starts, ends, raw)
+
+
+def grams(hashes: np.ndarray, n: int, seed: int, stream: int = 0) -> np.ndarray:
+    """Hash of each run of ``n`` consecutive words, mixed at every step, so that no arithmetic of runs shows in it."""
+    left = _U(0xD6E8FEB86659FD93 * (2 * seed + 1) & _MASK | 1)
+    have, width = hashes, 1
     # doubling: the hash of 2k words from two hashes of k words
-    power, have, width = base, hashes, 1
     for bit in bin(n)[3:]:
-        have = have[: max(0, len(have) - width)] * _U(power) + have[width:]
-        power, width = power * power & _MASK, 2 * width
+        have = mix(have[: max(0, len(have) - width)] * left + have[width:] + _U(width), stream)
+        width *= 2
         if bit == "1":
-            have = have[: max(0, len(have) - 1)] * _U(base) + hashes[width : width + max(0, len(have) - 1)]
-            power, width = power * base & _MASK, width + 1
-    out[:] = have[:count]
-    return mix(out ^ _U(seed))
+            count = max(0, len(have) - 1)
+            have = mix(have[:count] * left + hashes[width : width + count] + _U(width), stream)
+            width += 1
+    count = max(0, len(hashes) - n + 1)
+    return mix(have[:count] ^ _U(seed), stream)

@@ -9,6 +9,7 @@ import pytest
 from proxsearch.llm import common
 from proxsearch.llm.exact_dedup import ExactIndex, build_directory, exact_dedup, owners
 from proxsearch.llm.line_dedup import line_digest, line_keys, line_marks, pack_bits, unpack_bits
+from proxsearch.llm.minhash import near_dedup
 from proxsearch.llm.substring_dedup import FingerprintIndex, minimizers, substring_digest
 
 from .fixtures import AWKWARD, docs_of
@@ -149,24 +150,57 @@ def test_substrings(spark, window):
     assert sorted(map(tuple, got), key=str) == brute_windows(pairs, window)
 
 
-def test_substrings_in_batches(spark):
+def test_substrings_in_batches(spark, monkeypatch):
     window, every = 7, passages(60, 3)
-    index = FingerprintIndex(spark, common.shared_dir(spark), window)
+    path, fanout = common.shared_dir(spark), 3
     parts, want = [every[:20], every[20:40], every[40:]], brute_windows(every, window)
     history = []
     for k, part in enumerate(parts):
-        got = substring_digest(docs_of(spark, part), window=window, index=index, history=docs_of(spark, history) if history else None)
+        index = FingerprintIndex(spark, path, window, fanout=fanout)  # opened again, with what is stored alone
+        got = substring_digest(docs_of(spark, part), window=window, index=index)
         history = history + part
         ids = {d for d, _ in part}
         assert sorted(map(tuple, got.collect()), key=str) == [r for r in brute_windows(history, window) if r[0] in ids]
-        if k == 1:
-            index.compact()
-            assert len(index.runs) == 1
+        assert len(index.state["runs"]) == (1, 2, 1)[k]
     assert sorted(map(tuple, got.collect()), key=str) == [r for r in want if r[0] in ids]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("run_", "new_"))]
+    # a step that fails on the way leaves the index as it was
+    before, index = dict(index.state), FingerprintIndex(spark, path, window)
+    monkeypatch.setattr(FingerprintIndex, "_commit", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        substring_digest(docs_of(spark, parts[0]), window=window, index=index)
+    monkeypatch.undo()
+    again = FingerprintIndex(spark, path, window)
+    assert again.state == before and again.hits().count() >= 0
+    with pytest.raises(ValueError):
+        FingerprintIndex(spark, path, 8)
     index.drop()
     assert substring_digest(docs_of(spark, []), window=window).collect() == []
 
 
+def test_runs_merge_without_moving(spark):
+    index, tables = FingerprintIndex(spark, common.shared_dir(spark), 7, buckets=4, fanout=9), []
+    for part in (passages(20, 1), passages(20, 2)):
+        index.add(docs_of(spark, part).selectExpr("doc_id AS did", "0L AS th", "text"))
+    plan = index.merged(index.state["runs"], tables)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    for t in tables:
+        spark.sql(f"DROP TABLE {t}")
+    index.drop()
+
+
+def thue_morse(n, x, y):
+    return "".join(x if bin(i).count("1") % 2 == 0 else y for i in range(n))
+
+
+def test_words_that_polynomials_confuse(spark):
+    common_words = [f"w{i}" for i in range(34)]
+    pairs = [(1, " ".join([*common_words, thue_morse(4096, "a", "b")])), (2, " ".join([*common_words, thue_morse(4096, "b", "a")])), (3, " ".join([*common_words, "c" * 4095 + "d"])), (4, " ".join([*common_words, "c" * 4096]))]
+    assert sorted(map(tuple, substring_digest(docs_of(spark, pairs), window=35).collect()), key=str) == brute_windows(pairs, 35)
+    near = [(d, t.split(" ")[-1] + " x y z") for d, t in pairs]
+    assert all(r["kept"] for r in near_dedup(docs_of(spark, near)).collect())
+
+
 def test_minimizers_are_the_leftmost_least():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 4, 200, dtype=np.uint64)
