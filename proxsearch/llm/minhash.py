@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,20 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_unique, key_filter, materialize, may_pass, partitions, pick
+from .common import discard, join_unique, key_filter, materialize, may_pass, partitions, pick
 from .graph import components
-from .words import grams, mix, words
+from .words import Words, grams, mix, words
 
 _U = np.uint64
 #: Members of one centre that a task compares.
 STAR = 1000
 
 
-def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the ``n``-word shingles; of all words at once if there are fewer."""
+def shingles(hashes: np.ndarray, n: int, stream: int = 0) -> np.ndarray:
+    """Hashes of the ``n``-word shingles, in order of the text; of all words at once if there are fewer."""
     if not len(hashes):
         return hashes
-    return np.unique(grams(hashes, min(n, len(hashes)), 11 if len(hashes) >= n else 12))
+    return grams(hashes, min(n, len(hashes)), 11 if len(hashes) >= n else 12, stream)
 
 
 class Sketcher:
@@ -31,6 +32,8 @@ class Sketcher:
     most, in practice after a few; two sets agree in a bin with probability of their Jaccard similarity."""
 
     def __init__(self, t: int, seed: int = 7):
+        if not 0 < t <= 256:
+            raise ValueError("a sketch has 1 to 256 bins")
         self.t = t
         self.seeds = mix(np.arange(1, 2 * t + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed))
 
@@ -64,67 +67,104 @@ def _sketches(n_words: int, bands: int, rows: int):
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64) + _U(1 << 40))
         none = np.zeros(bands, np.int64)
         for b in batches:
-            n, s1, s2, flat = [], [], [], []
+            n, names, flat = [], [], []
             for chunk in words(b.column("text"), fold=True):
+                second = chunk.second()
                 for i in range(len(chunk)):
-                    items = shingles(chunk.of(i), n_words)
+                    items, at = np.unique(shingles(chunk.of(i), n_words), return_index=True)
                     n.append(len(items))
+                    # two independent hashes of each shingle name the set
+                    other = shingles(second[chunk.first[i] : chunk.first[i + 1]], n_words, 1)[at]
+                    names.append(hashlib.blake2b(items.tobytes() + other.tobytes(), digest_size=16).digest())
                     if not len(items):
-                        s1.append(0)
-                        s2.append(0)
                         flat.append(none)
                         continue
-                    s1.append(int(items.sum()))
-                    s2.append(int(mix(items).sum()))
                     flat.append(mix((sketch(items).reshape(bands, rows) * power).sum(1) ^ salt).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(n) + 1, bands), pa.int32()), pa.array(np.concatenate(flat) if flat else none[:0]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), lists], names=["doc_id", "n_shingles", "s1", "s2", "bands"])
+            s = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), lists], names=["doc_id", "n_shingles", "s1", "s2", "bands"])
 
     return run
 
 
-def _compare(n_words: int):
-    """Rows sorted by (c, salt, x), the centre's own (x null) first: Jaccard counts of each member and its centre."""
+def prefixes(items: np.ndarray, known: np.ndarray, centre: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the buckets in which a set meets every set that it can be linked with, of those compared with ``centre``.
+
+    In any one order of shingles, two sets that are alike enough share one among the first few of each: of
+    a set of n, the first n - 2tn / (1 + t) + 1 suffice to meet larger ones, and n - tn + 1 to meet
+    smaller ones (t = percent / 100). The order here puts what the centre lacks (not ``known``) first: in a
+    family with much in common that is what few of its members share. Returns the former and the rest of the latter.
+    """
+    n = len(items)
+    few, most = n + 1 - -(-2 * percent * n // (100 + percent)), n + 1 - -(-percent * n // 100)
+    order = np.concatenate((items[~known], items[known]))[:most]
+    names = mix(order ^ mix(np.array([centre], np.int64).view(np.uint64), 1), 1).view(np.int64)
+    return names[:few], names[few:]
+
+
+_TESTED = "c long, x long, both long, all_ long, near array<long>, far array<long>"
+
+
+def _compare(n_words: int, percent: int):
+    """Rows sorted by (c, salt, x), the centre's own (x null) first: Jaccard counts of each member and its centre, and where it is ``first`` prefixes().
+
+    Sets are compared by one hash of their shingles; what would be a link must be one by another, independent hash too.
+    """
+
+    def other(chunk: Words, i: int) -> np.ndarray:
+        return np.unique(shingles(chunk.second()[chunk.first[i] : chunk.first[i + 1]], n_words, 1))
+
+    def shared(own: np.ndarray, items: np.ndarray) -> np.ndarray:
+        return own[np.minimum(np.searchsorted(own, items), len(own) - 1)] == items
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, parts)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, sets = None, []
+        centre, sets, none = None, [], (np.zeros(0, np.int64),) * 2
         for b in batches:
             out: list[tuple] = []
             key = list(zip(b.column("c").to_pylist(), b.column("salt").to_pylist(), strict=True))
-            member = b.column("x").to_pylist()
+            member, first = b.column("x").to_pylist(), b.column("first").to_pylist()
             for chunk in words(b.column("text"), fold=True):
                 for i in range(len(chunk)):
                     k, x = key[chunk.row + i], member[chunk.row + i]
-                    items = shingles(chunk.of(i), n_words)
+                    items = np.unique(shingles(chunk.of(i), n_words))
                     if k != centre:
                         centre, sets = k, []
+                    if not len(items):
+                        continue
                     if x is None:
-                        sets.append(items)
+                        sets.append((items, other(chunk, i)))
                         continue
-                    for own in sets:
-                        if len(items) and len(own):
-                            at = np.minimum(np.searchsorted(own, items), len(own) - 1)
-                            both = int((own[at] == items).sum())
-                            out.append((k[0], x, both, len(own) + len(items) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 4)], names=["c", "x", "both", "all_"])
+                    known, best = np.zeros(len(items), bool), (0, 1)
+                    for own, own_other in sets:
+                        hit = shared(own, items)
+                        known |= hit
+                        both = int(hit.sum())
+                        if 100 * both >= percent * (len(own) + len(items) - both):
+                            both = min(both, int(shared(own_other, other(chunk, i)).sum()))
+                        best = max(best, (both, len(own) + len(items) - both), key=lambda v: v[0] / v[1])
+                    out.append((k[0], x, *best, *(prefixes(items, known, k[0], percent) if first[chunk.row + i] else none)))
+            c, x, both, all_, near, far = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (c, x, both, all_)), lists(near), lists(far)], names=["c", "x", "both", "all_", "near", "far"])
 
     return run
 
 
-def _verify(texts: DataFrame, pairs: DataFrame, n_words: int) -> DataFrame:
-    """(c, x, d): Jaccard distance of the full sets of each pair, by the smallest of rows that share an id."""
+def _verify(texts: DataFrame, pairs: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """_TESTED: each of ``pairs`` (c, x, first) compared on full sets; of rows that share the id c the most alike counts, each of x is a row."""
     n = partitions(texts.sparkSession)
     sized = pairs.groupBy("c").agg(F.count(F.lit(1)).alias("w"))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(1 << 20)))
     salts = sized.withColumn("salts", F.ceil(F.col("w") / STAR))
-    members = join_unique(salted, salts, ["c"], "w", pairs.count(), "inner").select("c", (F.col("salt") % F.col("salts")).alias("salt"), "x")
-    own = salts.select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("x"))
+    members = join_unique(salted, salts, ["c"], "w", pairs.count(), "inner").select("c", (F.col("salt") % F.col("salts")).alias("salt"), "x", "first")
+    own = salts.select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("x"), F.lit(False).alias("first"))
     there = texts.select(F.col("doc_id").alias("_id"), "text")
     rows = members.join(there.hint("merge"), F.col("x") == F.col("_id")).unionByName(own.join(there.hint("merge"), F.col("c") == F.col("_id")))
-    rows = rows.select("c", "salt", "x", "text").repartition(n, "c", "salt").sortWithinPartitions("c", "salt", F.col("x").asc_nulls_first())
-    found = rows.mapInArrow(_compare(n_words), "c long, x long, both long, all_ long")
-    # integers decide; d keeps their ratio for the triangle inequality
-    return found.groupBy("c", "x").agg(F.max_by(F.struct("both", "all_"), F.col("both") / F.col("all_")).alias("j")).select("c", "x", "j.*")
+    rows = rows.select("c", "salt", "x", "first", "text").repartition(n, "c", "salt").sortWithinPartitions("c", "salt", F.col("x").asc_nulls_first())
+    return rows.mapInArrow(_compare(n_words, percent), _TESTED)
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, n_words: int = 3, bands: int = 32, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,13 +172,15 @@ def near_dedup(docs: DataFrame, percent: int = 85, n_words: int = 3, bands: int
 
     Texts with the same set of shingles are one class, whose smallest doc_id stands for it; only classes
     are compared. Sketches of ``bands`` * ``rows`` bins are banded. In every bucket with several
-    classes, the smallest is the centre and all others are compared with it, on full sets. Jaccard
+    classes, the smallest is the centre and all others are compared with it, on full sets (later
+    rounds take four times as many further centres each, so that small groups end soon). Jaccard
     distance is a metric: with c the centre, x linked to c and y not, x and y can't be linked if
-    d(c, y) > d(c, x) + (1 - percent / 100). So members linked to the centre leave the bucket unless some
-    unlinked member is that near; centres leave too, and the rest go to the next round, which has
-    eight times as many centres. Members of one component aren't compared any more, and a bucket whose
-    members are all of one component is done. Rounds end when no bucket has two members left, so no link between members
-    of a bucket goes untested that could join components, and no bucket's pairs are all listed.
+    d(c, y) > d(c, x) + (1 - percent / 100). So members linked to their centre are done unless some
+    unlinked one is that near. The others go on to the next round's buckets, by prefixes(): those that
+    can be linked with each other meet there, while others of a family with much in common part. A bucket
+    whose members are all of one component is done. Rounds end when no bucket has two members left, which
+    must come, as members' ids are above those of all their centres so far. So no link between members of a bucket goes
+    untested that could join components, and no bucket's pairs are all listed.
     Two sets at the threshold share no bucket with probability (1 - 0.85^6)^32 < 3e-7.
 
     Nulls: a null text counts as empty. Documents without words have an empty set and link with nothing.
@@ -149,59 +191,52 @@ def near_dedup(docs: DataFrame, percent: int = 85, n_words: int = 3, bands: int
     spark = docs.sparkSession
     d = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sketched = materialize(d.mapInArrow(_sketches(n_words, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
-    key = ["n_shingles", "s1", "s2"]
+    key = ["s1", "s2"]
     usable = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(usable.groupBy(*key).agg(F.min("doc_id").alias("x"), F.count(F.lit(1)).alias("w")))
     total = classes.agg(F.sum("w")).first()[0] or 0
-    heads = usable.join(classes.hint("merge"), key).where("doc_id = x").select("x", "bands").distinct()
-    placed = materialize(heads.select("x", F.explode("bands").alias("bucket")))
-    several = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    filt = key_filter(several.select("bucket"), "bucket")
-    open_ = materialize(may_pass(placed, filt, "bucket"))
-    links, reach, centres = spark.createDataFrame([], "a long, b long"), 1 - percent / 100, 1
-    named = None
+    heads = join_unique(usable, classes, key, "w", total, "inner").where("doc_id = x").select("x", F.col("bands").alias("near"), F.array().cast("array<long>").alias("far"))
+    open_ = materialize(heads.distinct())
+    links, reach, named, centres = materialize(spark.createDataFrame([], "a long, b long")), 1 - percent / 100, None, 1
     while True:
-        buckets = materialize(_centres(open_, centres).where("n > 1"))
-        n_open = open_.count()
-        seen = join_unique(open_, buckets, ["bucket"], "n", n_open, "inner").select("bucket", "x", F.explode("cs").alias("c"), F.array_contains("cs", F.col("x")).alias("is_centre"))
-        seen = materialize(seen.where((F.col("c") < F.col("x")) | ~F.col("is_centre")))
-        pairs = seen.select("c", "x").distinct()
-        if named is not None:  # what is connected already needs no test
-            pairs = pairs.join(named.hint("merge"), "x", "left").withColumnRenamed("to", "_x").join(named.select(F.col("x").alias("c"), F.col("to").alias("_c")).hint("merge"), "c", "left")
-            pairs = pairs.where(F.coalesce("_x", "x") != F.coalesce("_c", "c")).select("c", "x")
-        pairs = materialize(pairs)
+        flag = lambda c, near: F.transform(c, lambda v: F.struct(v.alias("bucket"), F.lit(near).alias("near")))
+        placed = open_.select("x", F.explode(F.concat(flag("near", True), flag("far", False))).alias("b")).select("x", "b.*")
+        tagged = placed.withColumn("to", F.col("x")) if named is None else placed.join(named, "x", "left").withColumn("to", F.coalesce("to", "x"))
+        buckets = materialize(_buckets(tagged, centres))
+        met = may_pass(placed.select("x", "bucket"), key_filter(buckets, "bucket"), "bucket")
+        seen = join_unique(met, buckets, ["bucket"], "n", buckets.agg(F.sum("n")).first()[0] or 0, "inner").withColumn("ours", F.array_contains("cs", F.col("x")))
+        seen = seen.select("x", "ours", F.explode("cs").alias("c"), (~F.col("ours") & (F.col("c") == F.array_min("cs"))).alias("first"))
+        pairs = materialize(seen.where((F.col("c") < F.col("x")) | (~F.col("ours") & (F.col("c") != F.col("x")))).groupBy("c", "x").agg(F.max("first").alias("first")))
+        discard(buckets)
         if not pairs.limit(1).count():
             break
         ends = pairs.select(F.xxhash64("c").alias("k")).unionByName(pairs.select(F.xxhash64("x").alias("k")))
         wanted = may_pass(d.withColumn("_k", F.xxhash64("doc_id")), key_filter(ends, "k"), "_k").select("doc_id", "text")
-        tested = materialize(_verify(wanted, pairs, n_words))
-        is_link = F.col("both") * 100 >= F.col("all_") * percent
-        links = materialize(links.unionByName(tested.where(is_link).select(F.col("c").alias("a"), F.col("x").alias("b"))))
+        tested = materialize(_verify(wanted, pairs, n_words, percent))
+        linked, dist = F.col("both") * 100 >= F.col("all_") * percent, 1 - F.col("both") / F.col("all_")
+        more = materialize(links.unionByName(tested.where(linked).select(F.col("c").alias("a"), F.col("x").alias("b"))).distinct())
+        firsts = tested.where(F.size("near") > 0)
+        near = firsts.groupBy("c").agg(F.min(F.when(~linked, dist)).alias("least"), F.count(F.lit(1)).alias("m")).where("least IS NOT NULL")
+        rest = join_unique(firsts, near, ["c"], "m", tested.count(), "inner").where(~linked | (F.col("least") <= dist + reach + 1e-9))
+        left = materialize(rest.select("x", "near", "far"))
+        discard(links, open_, pairs, tested)
+        links, open_, centres = more, left, 4 * centres
         named = components(links).select(F.col("node").alias("x"), F.col("component").alias("to"))
-        known = tested.select("c", "x", is_link.alias("linked"), (1 - F.col("both") / F.col("all_")).alias("dist"))
-        rest = materialize(seen.where("NOT is_centre").select("bucket", "c", "x").join(known.hint("merge"), ["c", "x"], "left"))
-        near = rest.groupBy("bucket", "c").agg(F.min(F.when(~F.col("linked"), F.col("dist"))).alias("near"), F.count(F.lit(1)).alias("m"))
-        out = F.coalesce(F.col("linked") & (F.col("near").isNull() | (F.col("near") > F.col("dist") + reach + 1e-9)), F.lit(False))
-        judged = join_unique(rest, near, ["bucket", "c"], "m", n_open * centres, "inner").groupBy("bucket", "x").agg(F.max(out).alias("out")).where("NOT out")
-        judged = judged.join(named.hint("merge"), "x", "left").select("bucket", "x", F.coalesce("to", "x").alias("to"))
-        judged = materialize(judged)
-        apart = judged.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), (F.min("to") != F.max("to")).alias("apart")).where("apart")
-        open_ = materialize(join_unique(judged, apart, ["bucket"], "m", n_open, "inner").select("x", "bucket"))
-        centres *= 8
+    discard(open_, pairs)
     edges = links
-    spread = [F.min(c) != F.max(c) for c in key]
-    twice = usable.groupBy("doc_id").agg((spread[0] | spread[1] | spread[2]).alias("several")).where("several").select("doc_id")
-    same_id = usable.join(twice, "doc_id", "left_semi").join(classes.hint("merge"), key).where("doc_id != x")
+    twice = usable.groupBy("doc_id").agg((F.min("s1") != F.max("s1")).alias("several")).where("several").select("doc_id")
+    same_id = join_unique(usable.join(twice, "doc_id", "left_semi").select("doc_id", *key), classes, key, "w", total, "inner").where("doc_id != x")
     edges = edges.unionByName(same_id.select(F.col("doc_id").alias("a"), F.col("x").alias("b")))
     comps = components(edges)
-    named = classes.join(comps.withColumnRenamed("node", "x").hint("merge"), "x", "left").select(*key, "w", F.coalesce("component", "x").alias("component"))
-    linkable = join_unique(usable.select("doc_id", *key), named, key, "w", total, "left").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    named = classes.join(comps.withColumnRenamed("node", "x"), "x", "left").select(*key, "w", F.coalesce("component", "x").alias("component"))
+    linkable = join_unique(usable.select("doc_id", "n_shingles", *key), named, key, "w", total, "left").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = sketched.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linkable.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _centres(members: DataFrame, k: int) -> DataFrame:
-    """(bucket, n, cs): number of members and up to ``k`` of them, the smallest of each of ``k`` parts."""
-    part = F.pmod(F.xxhash64("x"), F.lit(k))
-    some = members.groupBy("bucket", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("c"))
-    return some.groupBy("bucket").agg(F.sum("n").alias("n"), F.collect_list("c").alias("cs"))
+def _buckets(members: DataFrame, k: int) -> DataFrame:
+    """(bucket, n, cs): size and centres (the smallest of each of ``k`` parts) of what ``members`` (bucket, x, near, to) leave to do."""
+    part = F.pmod(F.xxhash64("x"), F.lit(k)) if k > 1 else F.lit(0)
+    some = members.groupBy("bucket", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("c"), F.max("near").alias("near"), F.min("to").alias("lo"), F.max("to").alias("hi"))
+    each = some.groupBy("bucket").agg(F.sum("n").alias("n"), F.collect_list("c").alias("cs"), F.max("near").alias("near"), (F.min("lo") != F.max("hi")).alias("apart"))
+    return each.where("n > 1 AND apart AND near").select("bucket", "n", "cs")

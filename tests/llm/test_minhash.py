@@ -3,7 +3,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from proxsearch.llm import minhash
 from proxsearch.llm import words as w
 from proxsearch.llm.graph import components
 from proxsearch.llm.minhash import Sketcher, near_dedup
@@ -78,6 +80,46 @@ def test_near_dedup(spark):
     assert near_dedup(docs_of(spark, [])).collect() == []
 
 
+def template(rng, n, size=100):
+    """Documents of one template (Jaccard about 0.77, none linked): some words of it replaced by own ones."""
+    base = [f"t{i}" for i in range(size)]
+    at = sorted(rng.sample(range(size), size))[:: size // 4][:4]
+    return [" ".join(f"own{k}x{i}" if i in at else w for i, w in enumerate(base)) for k in range(n)]
+
+
+@pytest.mark.parametrize("n", [400, 2000])
+def test_a_template_is_not_compared_pair_by_pair(spark, monkeypatch, n):
+    texts, tested, verify = template(random.Random(3), n), [], minhash._verify
+    a, b = ({tuple(t.split()[i : i + 3]) for i in range(98)} for t in texts[:2])
+    assert 0.7 < len(a & b) / len(a | b) < 0.85
+
+    def counted(docs, pairs, *rest):
+        tested.append(pairs.count())
+        return verify(docs, pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_verify", counted)
+    got = near_dedup(docs_of(spark, list(enumerate(texts)))).collect()
+    assert all(r["kept"] for r in got) and len(got) == n
+    assert sum(tested) < 0.1 * n * (n - 1) / 2, tested
+
+
+def test_prefixes_meet():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        common = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+        x, y = (np.unique(np.concatenate((common, rng.integers(0, 1 << 62, int(rng.integers(0, n // 5 + 1)), dtype=np.uint64)))) for _ in range(2))
+        if len(x) < len(y):
+            x, y = y, x
+        if 100 * len(np.intersect1d(x, y)) < 85 * len(np.union1d(x, y)):
+            continue
+        centre = np.concatenate((rng.choice(common, n // 2), rng.choice(x, len(x) // 3)))
+        near, far = zip(*(minhash.prefixes(s, np.isin(s, centre), 7, 85) for s in (x, y)), strict=True)
+        assert np.isin(near[1], np.concatenate((near[0], far[0]))).any()
+    with pytest.raises(ValueError):
+        Sketcher(257)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(50)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(50)]
