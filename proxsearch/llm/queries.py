@@ -35,7 +35,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup(_table(spark, sf_dir, "embeddings"), least=0.93)
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"), least=0.93, leaf=256)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from proxsearch.llm.embedding_dedup import embedding_dedup
+from proxsearch.llm import embedding_dedup as module
+from proxsearch.llm.embedding_dedup import Forest, embedding_dedup
 
 
 def brute(rows, least=0.93):
@@ -51,17 +52,40 @@ def test_hot_group_of_distinct_near_copies(spark):
     assert 200_000 < want.sum() < 2000 * 1999 and [got[i] for i in range(len(x))] == want.tolist()
 
 
-def test_forest_grows_with_its_depth():
-    from proxsearch.llm.embedding_dedup import Forest
-
+@pytest.mark.parametrize(("rows", "levels"), [(1 << 20, 8), (1 << 24, 13)])
+def test_forest_grows_with_its_depth(rows, levels):
+    """Trees deeper than the sample can be split still hold nearly all pairs at the threshold, and their leaves stay small."""
     rng = np.random.default_rng(2)
     x = rng.standard_normal((20_000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = rng.standard_normal(x.shape)
     y -= (x * y).sum(1, keepdims=True) * x
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    forest = Forest.fit(x, 1 << 20, 8, 2048, 0.1, 64, 5, 0.93)
-    assert forest.directions.shape[1] >= 8
+    forest = Forest.fit(x, rows, 8, 2048, 0.1, 64, 5, 0.93)
+    assert forest.directions.shape[1] >= levels and forest.base <= 10
     (r, t, a), (q, s, b) = forest.route(x), forest.route(y)
     held = {k[0] for k in set(zip(r.tolist(), t.tolist(), a.tolist(), strict=True)) & set(zip(q.tolist(), s.tolist(), b.tolist(), strict=True))}
     assert len(held) >= 0.997 * len(x)
+    fresh = rng.standard_normal((50_000, 64))  # not those it was fitted on
+    _, t, a = forest.route(fresh / np.linalg.norm(fresh, axis=1, keepdims=True))
+    leaves = np.unique(t << 40 | a, return_counts=True)[1]
+    assert np.quantile(leaves, 0.99) * rows / len(fresh) < 16 * 2048
+
+
+def test_large_and_small_components(spark):
+    vectors = [[1e200, 0.0], [1e200, 1e190], [1e-200, 0.0], [5e-324, 0.0], [0.0, 1e300], [0.0, 0.0], [-1e-300, 1e-300], [-3.0, 3.0]]
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup(df).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+
+
+def test_large_leaves_come_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(module, "BLOCK", 16 * 64)
+    monkeypatch.setattr(module, "TILE", 64)
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal((60, 16))[np.arange(900) % 60] + rng.standard_normal((900, 16)) * 0.2).astype(np.float32)
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup(df, leaf=2000).collect()}
+    assert want.sum() > 1000 and [got[i] for i in range(len(x))] == want.tolist()
