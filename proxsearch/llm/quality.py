@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import by_place, pick
 from .language_id import bucket_of
 from .words import Words, words
 
-#: Labelled documents of each label that the model is fitted on, about; chosen by a hash, read whole.
-SAMPLE_DOCS = 2000
+#: Labelled documents of each label that the model is fitted on, about, and lines of all of them at most; chosen by a hash, read whole.
+SAMPLE_DOCS, SAMPLE_LINES = 2000, 400_000
+#: Chains longer than this are stepped through in blocks.
+LONG_CHAIN = 512
 ROUNDS, RATE, DECAY = 120, 0.15, 1e-3
 THRESHOLD = 0.7
 
@@ -88,14 +91,50 @@ def neighbours(first: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.concatenate((x, before, after, np.stack((np.ones(len(x)), head, tail), 1)), axis=1)
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2 x 2 matrices whose entries are logarithms."""
+    return np.logaddexp(a[..., :, :1] + b[..., :1, :], a[..., :, 1:] + b[..., 1:, :])
+
+
+def _long_chain(emit: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of one chain, in about 4 sqrt(n) steps: blocks side by side, then along their ends."""
+    n = len(emit)
+    size = int(np.ceil(np.sqrt(n)))
+    n_blocks = -(-(n - 1) // size)
+    one = np.array([[0.0, -np.inf], [-np.inf, 0.0]])
+    # step t from line t to t + 1; identities fill the last block
+    steps = np.tile(one, (n_blocks * size, 1, 1))
+    steps[: n - 1] = moves + emit[1:, None, :]
+    steps = steps.reshape(n_blocks, size, 2, 2)
+    ahead, back = steps.copy(), steps.copy()
+    for k in range(1, size):
+        ahead[:, k] = _times(ahead[:, k - 1], steps[:, k])
+        back[:, -k - 1] = _times(steps[:, -k - 1], back[:, -k])
+    enter, leave = np.empty((n_blocks, 2)), np.empty((n_blocks, 2))
+    at, end = emit[0], np.zeros(2)
+    for b in range(n_blocks):
+        enter[b] = at
+        at = np.logaddexp(at[0] + ahead[b, -1, 0], at[1] + ahead[b, -1, 1])
+        leave[-b - 1] = end
+        end = np.logaddexp(back[-b - 1, 0, :, 0] + end[0], back[-b - 1, 0, :, 1] + end[1])
+    alpha, beta = np.empty((n, 2)), np.zeros((n, 2))
+    alpha[0] = emit[0]
+    alpha[1:] = np.logaddexp(enter[:, None, :1] + ahead[:, :, 0], enter[:, None, 1:] + ahead[:, :, 1]).reshape(-1, 2)[: n - 1]
+    beta[: n - 1] = np.logaddexp(back[..., 0] + leave[:, None, :1], back[..., 1] + leave[:, None, 1:]).reshape(-1, 2)[: n - 1]
+    return alpha, beta
+
+
 def forward_backward(first: np.ndarray, score: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of label 1 of each line, and expected moves (from, to) over all chains.
 
-    ``score``: log potential of label 1 against 0; ``moves``: log potentials. All chains step side by side.
+    ``score``: log potential of label 1 against 0; ``moves``: log potentials. All chains step side by side, but for
+    those beyond LONG_CHAIN lines, which are cut into blocks that do.
     """
-    n = np.diff(first)
+    lengths = np.diff(first)
+    short = np.flatnonzero(lengths <= LONG_CHAIN)
+    n = lengths[short]
     order = np.argsort(-n, kind="stable")
-    starts, n = first[:-1][order], n[order]
+    starts, n = first[:-1][short][order], n[order]
     longest = int(n[0]) if len(n) else 0
     active = np.searchsorted(-n, -np.arange(longest), "left")  # chains with more than t lines
     emit = np.stack((np.zeros(len(score)), score), 1)
@@ -110,6 +149,9 @@ def forward_backward(first: np.ndarray, score: np.ndarray, moves: np.ndarray) ->
         at = starts[: active[t + 1]] + t
         nxt = (beta[at + 1] + emit[at + 1])[:, None, :] + moves
         beta[at] = np.logaddexp(nxt[:, :, 0], nxt[:, :, 1])
+    for i in np.flatnonzero(lengths > LONG_CHAIN).tolist():
+        at = slice(first[i], first[i + 1])
+        alpha[at], beta[at] = _long_chain(emit[at], moves)
     both = alpha + beta
     total = np.logaddexp(both[:, 0], both[:, 1])
     inner = np.ones(len(score), bool)
@@ -181,6 +223,18 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> C
     share = F.create_map(*[F.lit(v) for q, n in counts.items() for v in (q, int(1e9 * min(1.0, SAMPLE_DOCS / n)))])
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(10**9)) < share[F.col("quality")])  # about 2 * SAMPLE_DOCS rows
 
+    # in the order of the hash, documents are taken as long as their lines fit
+    n_lines = F.size(F.split("text", "\n", -1))
+    seen = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.sum(n_lines).alias("n")).collect()
+    taken, left = [], SAMPLE_LINES
+    for r in sorted(seen, key=lambda r: (zlib.crc32(b"9 %d" % r["doc_id"]), r["doc_id"], r["quality"])):
+        if r["n"] <= left:
+            taken.append((r["doc_id"], r["quality"]))
+            left -= r["n"]
+    if len({q for _, q in taken}) < 2:
+        return None
+    drawn = docs.sparkSession.createDataFrame(taken, "doc_id long, quality int")
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, first, size, x in text_features(b.column("text")):
@@ -199,7 +253,11 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> C
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score_quality would predict to be good; all, where nothing could be learnt."""
+    """The rows of ``docs``, with all their columns, that score_quality would predict to be good; all, where nothing could be learnt.
+
+    A null text counts as empty. Rows that repeat are judged alike. Long texts are whole. Other columns, whatever
+    their names, stay as they are. Empty input gives no rows.
+    """
     d = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = pick(labels, doc_id=id_col, quality=label_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     model = fit_labelled(d, own, folds, held)
@@ -213,7 +271,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
         got = [model.score(first, x.astype(float), size) for _, first, size, x in text_features(pa.array(texts, pa.large_string()))]
         return pd.Series(np.concatenate(got) >= THRESHOLD if got else [], dtype=bool)
 
-    return docs.where(good(F.coalesce(F.col(text_col), F.lit(""))))
+    placed, at = by_place(docs, text=text_col)
+    return placed.where(good(F.coalesce(at["text"], F.lit("")))).toDF(*docs.columns)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -221,7 +280,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
 
     Every line is labelled good or bad by its own features and its neighbours'; the marginals of a document's
     lines, weighted by length, make its score. The model is fitted on about SAMPLE_DOCS documents of each
-    label (a bound), none of those whose crc32 of doc_id modulo ``folds`` is ``held``; all are scored, whole.
+    label, of SAMPLE_LINES lines in all (bounds), none of those whose crc32 of doc_id modulo ``folds`` is ``held``; all are scored, whole.
 
     A null text counts as empty, which is one empty line. A null doc_id counts as an empty one in crc32.
     Labels other than 0 and 1 are ignored; without both, all scores are 0.5. Repeated rows get equal

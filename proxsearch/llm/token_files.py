@@ -1,7 +1,7 @@
 """Token-id files: canonical length-limited Huffman codes, independent blocks, bit-offset checkpoints.
 
-A file is  b"PXH1", u32 header length, header (JSON: vocabulary, limit, block places, counts), the code
-lengths (zlib), then blocks. A block holds whole documents: u32 documents, u32 ids, u32 payload
+A file is  b"PXH2", blocks one after another as they come, the code lengths (zlib), a footer (JSON: vocabulary, limit, sizes
+of the blocks and of the code lengths), u32 footer length, b"PXH2". So writing holds one block at a time. A block holds whole documents: u32 documents, u32 ids, u32 payload
 bytes, a null flag (u8), id (i64) and number of ids (u32) of each document, the bit offset (u64) of
 every STEP-th id, and the codes, most significant bit first. Blocks decode alone, and within one all
 checkpoints decode side by side.
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions, pick, shared_dir
 from .tokens import encoder
 
-MAGIC, LIMIT, STEP, BLOCK_IDS = b"PXH1", 18, 128, 1 << 19
+MAGIC, LIMIT, STEP, BLOCK_IDS = b"PXH2", 18, 128, 1 << 19
+#: A file of so many ids (about 300 MB) is closed and the next one begun.
+FILE_IDS = 1 << 28
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -140,6 +142,17 @@ def read_block(block: bytes, table: tuple[np.ndarray, np.ndarray], limit: int) -
         yield None if null_ else name, ids[end - size : end]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark means by it (fs.defaultFS where there is none), as pyarrow spells it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    scheme, _, rest = full.partition(":")
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return {"s3a": "s3", "s3n": "s3", "gs": "gs", "wasbs": "abfss"}.get(scheme, scheme) + ":" + rest
+
+
 def _filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
     import pyarrow.fs
 
@@ -147,31 +160,35 @@ def _filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def write_file(path: str, blocks: Iterator[bytes], lengths: np.ndarray, limit: int) -> None:
-    places, kept = [], []
-    for b in blocks:
-        places.append(len(b))
-        kept.append(b)
-    head = json.dumps({"vocabulary": len(lengths), "limit": limit, "step": STEP, "blocks": places}).encode()
-    table = zlib.compress(lengths.tobytes())
     fs, name = _filesystem(path)
     fs.create_dir(name.rpartition("/")[0], recursive=True)
+    sizes, table = [], zlib.compress(lengths.tobytes())
     with fs.open_output_stream(name) as f:
-        f.write(MAGIC + struct.pack("<II", len(head), len(table)) + head + table)
-        for b in kept:
+        f.write(MAGIC)
+        for b in blocks:
             f.write(b)
+            sizes.append(len(b))
+        foot = json.dumps({"vocabulary": len(lengths), "limit": limit, "step": STEP, "table": len(table), "blocks": sizes}).encode()
+        f.write(table + foot + struct.pack("<I", len(foot)) + MAGIC)
 
 
 def read_file(path: str) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of each document of a file, block by block."""
     fs, name = _filesystem(path)
-    with fs.open_input_stream(name) as f:
-        if f.read(4) != MAGIC:
-            raise ValueError(f"{path}: not a token-id file")
-        n_head, n_table = struct.unpack("<II", f.read(8))
-        head = json.loads(f.read(n_head))
-        table = decode_table(np.frombuffer(zlib.decompress(f.read(n_table)), np.uint8), head["limit"])
-        for n in head["blocks"]:
-            yield from read_block(f.read(n), table, head["limit"])
+    with fs.open_input_file(name) as f:
+        end = f.size() - 8
+        f.seek(max(0, end))
+        tail = f.read(8)
+        if tail[4:] != MAGIC:
+            raise ValueError(f"{path}: not a whole token-id file")
+        n_foot = struct.unpack("<I", tail[:4])[0]
+        f.seek(end - n_foot)
+        foot = json.loads(f.read(n_foot))
+        f.seek(end - n_foot - foot["table"])
+        table = decode_table(np.frombuffer(zlib.decompress(f.read(foot["table"])), np.uint8), foot["limit"])
+        f.seek(len(MAGIC))
+        for n in foot["blocks"]:
+            yield from read_block(f.read(n), table, foot["limit"])
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2") -> DataFrame:
@@ -203,15 +220,17 @@ def id_counts(table: DataFrame, vocabulary: int, dtype: str = "<u2") -> np.ndarr
     return out
 
 
-def write_token_files(table: DataFrame, path: str, vocabulary: int, dtype: str = "<u2") -> DataFrame:
-    """Writes ``table`` (of token_table) as files under ``path`` in ascending doc_id order.
+def write_token_files(table: DataFrame, path: str, vocabulary: int, dtype: str = "<u2", file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes ``table`` (of token_table) as files of about ``file_ids`` ids under ``path`` in ascending doc_id order.
 
-    Returns the list of files: number, file, n_docs, n_tokens, start (ids of all documents before it).
+    ``path`` is any that Spark and pyarrow both know; the number of tasks grows with the ids. Returns the list of files: number, turn, file, n_docs, n_tokens, start (ids of all documents before it).
     Each attempt of a task writes a file of its own name; the list, which Spark commits once, names
     those that count, so lost executors and second attempts do no harm.
     """
     spark = table.sparkSession
-    lengths = code_lengths(id_counts(table, vocabulary, dtype))
+    counts = id_counts(table, vocabulary, dtype)
+    lengths, root = code_lengths(counts), qualified(spark, path)
+    n_tasks = max(partitions(spark), -(-int(counts.sum()) // file_ids))
     sent = spark.sparkContext.broadcast(lengths)
     order = ["doc_id", "n_tokens", "_hash"]
 
@@ -220,30 +239,35 @@ def write_token_files(table: DataFrame, path: str, vocabulary: int, dtype: str =
 
         lengths = sent.value
         codes, number = canonical_codes(lengths), TaskContext.get().partitionId()
-        name, seen = f"{path}/{number:06d}-{uuid.uuid4().hex}.pxh", [0, 0]
-
-        def blocks() -> Iterator[bytes]:
-            held, n = [], 0
-            for b in batches:
-                for doc, ids, k in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
-                    held.append((doc, ids))
-                    n, seen[0], seen[1] = n + k, seen[0] + 1, seen[1] + k
-                    if n >= BLOCK_IDS:
-                        yield write_block(held, dtype, lengths, codes)
-                        held, n = [], 0
-            if held:
+        rows = ((d, i, k) for b in batches for d, i, k in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), b.column("n_tokens").to_pylist(), strict=True))
+        row, turn = next(rows, None), 0
+
+        def blocks(seen: list[int]) -> Iterator[bytes]:
+            """Blocks of one file; what comes after it stays in ``row``."""
+            nonlocal row
+            while row is not None and seen[1] < file_ids:
+                held, n = [], 0
+                while row is not None and n < BLOCK_IDS:
+                    held.append(row[:2])
+                    n += row[2]
+                    row = next(rows, None)
+                seen[0] += len(held)
+                seen[1] += n
                 yield write_block(held, dtype, lengths, codes)
 
-        write_file(name, blocks(), lengths, LIMIT)
-        yield pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int32()), "file": [name], "n_docs": pa.array([seen[0]], pa.int64()), "n_tokens": pa.array([seen[1]], pa.int64())})
+        while row is not None:
+            name, seen = f"{root}/{number:06d}-{turn:04d}-{uuid.uuid4().hex}.pxh", [0, 0]
+            write_file(name, blocks(seen), lengths, LIMIT)
+            yield pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int32()), "turn": pa.array([turn], pa.int32()), "file": [name], "n_docs": pa.array([seen[0]], pa.int64()), "n_tokens": pa.array([seen[1]], pa.int64())})
+            turn += 1
 
-    ranged = table.withColumn("_hash", F.xxhash64("ids")).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
-    files = materialize(ranged.mapInArrow(write, "number int, file string, n_docs long, n_tokens long"))
+    ranged = table.withColumn("_hash", F.xxhash64("ids")).repartitionByRange(n_tasks, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
+    files = materialize(ranged.mapInArrow(write, "number int, turn int, file string, n_docs long, n_tokens long"))
     start, rows = 0, []
-    for r in sorted(files.where("n_docs > 0").collect()):
+    for r in sorted(files.collect()):
         rows.append((*r, start))
         start += r["n_tokens"]
-    return spark.createDataFrame(rows, "number int, file string, n_docs long, n_tokens long, start long")
+    return spark.createDataFrame(rows, "number int, turn int, file string, n_docs long, n_tokens long, start long")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -266,7 +290,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, files.count())
-    return files.repartition(n, "number").select("file", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(n, "number", "turn").select("file", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digest(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

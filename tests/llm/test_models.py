@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from proxsearch.llm.language_id import HashTable, Model, byte_grams, identify
+from proxsearch.llm import quality
 from proxsearch.llm.quality import THRESHOLD, forward_backward, good_documents, line_features, score_quality, text_features
 
 from .fixtures import AWKWARD, docs_of
@@ -119,3 +120,107 @@ def test_quality(spark):
     assert {r["score"] for r in score_quality(docs, labels.limit(0)).collect()} == {0.5}
     assert good_documents(docs, labels.limit(0)).count() == len(every)
     assert score_quality(docs_of(spark, []), labels).collect() == []
+
+
+def test_long_chains_step_in_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 3, 700, 4, 5, 9, 16, 17, 1300, 10]
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    score, moves = rng.standard_normal(first[-1]) * 3, rng.standard_normal((2, 2)) * 2
+    monkeypatch.setattr(quality, "LONG_CHAIN", 10**9)
+    want = forward_backward(first, score, moves)
+    for most in (1, 3, 512):
+        monkeypatch.setattr(quality, "LONG_CHAIN", most)
+        got = forward_backward(first, score, moves)
+        assert all(np.allclose(g, w, rtol=1e-9, atol=1e-12) for g, w in zip(got, want, strict=True))
+
+
+def plain_crf(chains, labels, rounds, texts):
+    """Crf.fit and score with loops over paths' sums, one line at a time: scores of ``texts``."""
+    lines = np.concatenate([x for x, _ in chains])
+    mean, scale = lines.mean(0), lines.std(0) + 1e-6
+
+    def rows(x):
+        z, n = (x - mean) / scale, len(x)
+        none = np.zeros(x.shape[1])
+        return [np.concatenate((z[i], z[i - 1] if i else none, z[i + 1] if i < n - 1 else none, [1, i == 0, i == n - 1])) for i in range(n)]
+
+    def marginals(f, w, m):
+        e = [np.array([0.0, r @ w]) for r in f]
+        a, b = [e[0]], [np.zeros(2)]
+        for i in range(1, len(f)):
+            a.append(np.array([np.logaddexp(a[-1][0] + m[0, j], a[-1][1] + m[1, j]) + e[i][j] for j in (0, 1)]))
+        for i in range(len(f) - 2, -1, -1):
+            b.insert(0, np.array([np.logaddexp(m[j, 0] + e[i + 1][0] + b[0][0], m[j, 1] + e[i + 1][1] + b[0][1]) for j in (0, 1)]))
+        z = np.logaddexp(*a[-1])
+        pairs = sum((np.exp(a[i - 1][:, None] + m + (e[i] + b[i])[None, :] - z) for i in range(1, len(f))), np.zeros((2, 2)))
+        return [float(np.exp(a[i][1] + b[i][1] - z)) for i in range(len(f))], pairs
+
+    fs = [rows(x) for x, _ in chains]
+    params, m1, m2 = np.zeros(len(fs[0][0]) + 4), 0, 0
+    for step in range(1, rounds + 1):
+        w, m, g, gm = params[:-4], params[-4:].reshape(2, 2), 0, np.zeros((2, 2))
+        for f, y in zip(fs, labels, strict=True):
+            p, pairs = marginals(f, w, m)
+            g = g + sum(r * (y - q) for r, q in zip(f, p, strict=True))
+            gm -= pairs
+            gm[y, y] += len(f) - 1
+        grad = np.concatenate((g, gm.ravel())) / len(lines) - quality.DECAY * params
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
+        params = params + quality.RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+
+    def raw(x, size):
+        p, _ = marginals(rows(x), params[:-4], params[-4:].reshape(2, 2))
+        return sum(q * (n + 1) for q, n in zip(p, size, strict=True)) / sum(n + 1 for n in size)
+
+    known = sorted((raw(*c), y) for c, y in zip(chains, labels, strict=True))
+    good = sum(y for _, y in known)
+    cost = [sum(y for _, y in known[:k]) / good + sum(1 - y for _, y in known[k:]) / (len(known) - good) for k in range(len(known) + 1)]
+    best = [k for k, c in enumerate(cost) if c <= min(cost) + 1e-9]
+    edges = [0.0, *(r for r, _ in known), 1.0]
+    k = best[len(best) // 2]
+    cut = min(max((edges[k] + edges[k + 1]) / 2, 0.02), 0.98)
+    logit = lambda v: np.log(v / (1 - v))
+    return [1 / (1 + np.exp(-(logit(min(max(raw(*t), 1e-6), 1 - 1e-6)) - logit(cut) + logit(THRESHOLD)))) for t in texts]
+
+
+def test_scores_equal_a_plain_crf(spark, monkeypatch):
+    monkeypatch.setattr(quality, "ROUNDS", 8)
+    texts = {i: "\n".join([ENGLISH[k % 9 :] if i % 3 else "BUY!! $$$ NOW" * (k + 1) for k in range(1 + i % 5)] + (["ok then, yes"] if i % 7 == 0 else [])) for i in range(60)}
+    docs = docs_of(spark, [*texts.items(), (100, None), (101, ""), (102, "x\n" * 20)])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 60)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in score_quality(docs, labels).collect()}
+
+    def chain(t):
+        (_, first, size, x), = text_features(pa.array([t]))
+        return x.astype(float), size.tolist()
+
+    train = [i for i in texts if crc(i, 4) != 2]
+    every = [*texts, 100, 101, 102]
+    want = plain_crf([chain(texts[i]) for i in train], [int(i % 3 > 0) for i in train], 8, [chain(texts.get(i, {102: "x\n" * 20}.get(i, ""))) for i in every])
+    assert np.allclose([got[i] for i in every], want, rtol=1e-6)
+
+
+def test_lines_of_the_sample_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_LINES", 40)
+    docs = docs_of(spark, [(i, ENGLISH if i % 2 else "## $$ !!\n" * 3) for i in range(60)] + [(100, "## $$ !!\n" * 1000)])
+    seen = []
+    fit = quality.Crf.fit
+    monkeypatch.setattr(quality.Crf, "fit", staticmethod(lambda first, x, size, label: seen.append(first[-1]) or fit(first, x, size, label)))
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(60), 100]], "doc_id long, quality int")
+    assert score_quality(docs, labels).count() == 61 and 30 <= seen[0] <= 40
+
+
+def test_languages_equal_plain_ppm(spark):
+    texts = {i: (ENGLISH if i % 2 else FRENCH)[i % 30 :] + (" déjà vu" if i % 5 == 0 else "") for i in range(40)}
+    rows = [(i, t, "en" if i % 2 else "fr") for i, t in texts.items()] + [(100, "the maison", None), (101, "zz 漢字", None), (102, "12", None), (103, None, "en")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    train = [r for r in rows if r[1] is not None and r[2] and crc(r[0], 5)]
+    share = {lang: -np.log2(sum(r[2] == lang for r in train) / len(train)) for lang in ("en", "fr")}
+    for d, t, _ in rows:
+        if d in (102, 103):
+            assert got[d] == ("und", 0.0)
+            continue
+        bits = {lang: share[lang] + naive_bits([r[1].encode() for r in train if r[2] == lang], t.encode()) for lang in share}
+        best = min(bits, key=bits.get)
+        assert got[d][0] == best and abs(got[d][1] - 1 / sum(2 ** (bits[best] - b) for b in bits.values())) < 1e-3

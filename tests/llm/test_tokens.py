@@ -8,7 +8,7 @@ import pytest
 from proxsearch.llm.packing import intervals, pack, shortest_pack_first
 from proxsearch.llm.queries import tokenizer_path
 from proxsearch.llm.token_files import (
-    STEP, canonical_codes, code_lengths, decode_ids, decode_table, encode_ids, read_file, token_digest, token_table, write_token_files,
+    STEP, canonical_codes, code_lengths, decode_ids, decode_table, encode_ids, qualified, read_file, token_digest, token_table, write_token_files,
 )
 from proxsearch.llm.tokens import Encoder
 
@@ -79,6 +79,22 @@ def test_token_files_hold_the_ids(spark, tmp_path):
     read = [(d, ids.tolist()) for f in files for d, ids in read_file(f["file"])]
     assert sorted(read) == sorted((d, ids.tolist()) for d, ids in expected(pairs, FILES[1], 0))
     assert [d for d, _ in read] == sorted(d for d, _ in read)
+    # many small files, without a scheme in the path; a file that was cut short is refused
+    files = sorted(write_token_files(table, str(tmp_path / "small"), 50257, file_ids=50).collect())
+    assert len(files) >= 5 and sum(f["n_docs"] for f in files) == len(pairs)
+    assert [f["start"] for f in files] == [sum(f["n_tokens"] for f in files[:k]) for k in range(len(files))]
+    assert [(d, ids.tolist()) for f in files for d, ids in read_file(f["file"])] == read
+    name = files[0]["file"].removeprefix("file://")
+    with open(name, "rb") as f:
+        part = f.read()[:-3]
+    with open(name, "wb") as f:
+        f.write(part)
+    with pytest.raises(ValueError):
+        list(read_file(files[0]["file"]))
+
+
+def test_qualified_paths(spark):
+    assert qualified(spark, "/a/b") == qualified(spark, "file:///a/b") == "file:///a/b"
 
 
 def naive_shortest_pack_first(lengths, size):
