@@ -69,12 +69,11 @@ def _sketches(n_words: int, bands: int, rows: int):
         for b in batches:
             n, names, flat = [], [], []
             for chunk in words(b.column("text"), fold=True):
-                second = chunk.second()
                 for i in range(len(chunk)):
                     items, at = np.unique(shingles(chunk.of(i), n_words), return_index=True)
                     n.append(len(items))
                     # two independent hashes of each shingle name the set
-                    other = shingles(second[chunk.first[i] : chunk.first[i + 1]], n_words, 1)[at]
+                    other = shingles(chunk.second[chunk.first[i] : chunk.first[i + 1]], n_words, 1)[at]
                     names.append(hashlib.blake2b(items.tobytes() + other.tobytes(), digest_size=16).digest())
                     if not len(items):
                         flat.append(none)
@@ -112,7 +111,7 @@ def _compare(n_words: int, percent: int):
     """
 
     def other(chunk: Words, i: int) -> np.ndarray:
-        return np.unique(shingles(chunk.second()[chunk.first[i] : chunk.first[i + 1]], n_words, 1))
+        return np.unique(shingles(chunk.second[chunk.first[i] : chunk.first[i + 1]], n_words, 1))
 
     def shared(own: np.ndarray, items: np.ndarray) -> np.ndarray:
         return own[np.minimum(np.searchsorted(own, items), len(own) - 1)] == items

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,7 @@ class Words:
     def text(self, k: int) -> bytes:
         return self.raw[self.starts[k] : self.ends[k]].tobytes()
 
+    @cached_property
     def second(self) -> np.ndarray:
         """Hashes of the words that are independent of ``hashes``."""
         return word_hashes(self.raw, self.starts, self.ends, 1)
