@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import by_place, materialize
 
 #: Most patterns (sets of sources that some document belongs to) that the driver plans for.
 MAX_PATTERNS = 100_000
 #: A document of at least this share of its pattern's words is chosen by itself; no pattern has more than 1 / LARGE.
 LARGE = 1 / 1000
-BUCKETS = 4096
+#: Bits of the seeded key that one step sorts documents by; rows of a pattern that are at last put in order by one task.
+BITS, ORDERED = 12, 1 << 16
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = (1, 2, 3), most: float = 3.0) -> dict[str | None, float]:
@@ -96,12 +97,12 @@ def route(patterns: dict[tuple, int], quota: dict[str | None, float], repeat: in
     return out
 
 
-_ROW = "doc_id long, pattern string, size long, _th long, u long, want double, picked boolean"
+_ROW = "pattern string, size long, u long, r long, want double, picked boolean"
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     """Large documents of one pattern in seeded order, each taken if that brings the sum nearer."""
-    pdf = pdf.sort_values(["u", "doc_id", "size"]).reset_index(drop=True)
+    pdf = pdf.sort_values(["u", "size", "r"]).reset_index(drop=True)
     got, picked = 0.0, []
     for size, want in zip(pdf["size"], pdf["want"], strict=True):
         picked.append(got + size / 2 <= want)
@@ -113,29 +114,22 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeat: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, pattern, size, source_size, target, taken, and _th, xxhash64 of the text.
+def _digit(level: int) -> Column:
+    """BITS bits of the key (u, v), from the top."""
+    return F.shiftrightunsigned(F.shiftleft(F.col("u" if level * BITS < 60 else "v"), level * BITS % 60), 64 - BITS).cast("int")
 
-    ``source_col`` is a source, or an array of them where sources overlap; documents are summed by pattern,
-    the set of their sources, and only these sums reach the driver (at most MAX_PATTERNS). A flow routes
-    words from patterns to the sources' targets; a pattern that gives k times its words and a rest takes
-    every document k times, and some once more, chosen by a hash of ``seed`` and doc_id until the rest is
-    met: large ones first, one by one; then the others up to a bucket of the hash found from sums by
-    bucket, and within that bucket in order. So no task sees more than a bucket of a pattern, and a
-    source misses its target by half a document at most, commonly a small one.
 
-    source_size and target are those of the source; of an overlapping document's first source. Nulls:
-    a null text has size 0, a null source is a source (the last); an empty array of sources takes nothing.
-    Documents of size 0 take 0. Rows that repeat are documents of their own. Empty input gives no rows.
-    Other columns are ignored. Reruns agree.
-    """
-    spark = docs.sparkSession
-    d = pick(docs, doc_id=id_col, text=text_col, source=source_col)
-    several = d.schema["source"].dataType.typeName() == "array"
-    members = F.array_sort(F.array_distinct("source")) if several else F.array("source")
-    # JSON leaves nulls out of no array, so null is a member like others
-    d = d.select(F.col("doc_id").cast("long").alias("doc_id"), F.to_json(F.coalesce(members, F.array().cast("array<string>"))).alias("pattern"), word_count(F.coalesce("text", F.lit(""))).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
-    rows = materialize(d.withColumn("u", F.xxhash64(F.lit(seed), "doc_id")))
+def _edges(rows: DataFrame, level: int) -> DataFrame:
+    """(pattern, edge, before): by sums, the digit at which ``want`` is reached, and the words of those below; none where it isn't."""
+    sums = rows.groupBy("pattern", _digit(level).alias("digit")).agg(F.sum("size").alias("s"), F.max("want").alias("want"))
+    upto = F.sum("s").over(Window.partitionBy("pattern").orderBy("digit"))
+    found = sums.withColumn("upto", upto).where("upto > want").groupBy("pattern").agg(F.min(F.struct(F.col("digit"), (F.col("upto") - F.col("s")).alias("before"))).alias("e"))
+    return F.broadcast(materialize(found.select("pattern", F.col("e.digit").alias("edge"), F.col("e.before").alias("before"))))  # a row a pattern
+
+
+def _plan(rows: DataFrame, weights: Sequence[float], repeat: int) -> DataFrame:
+    """``rows`` (pattern, size, u, v, r, which names the row, and others) with source_size, target and times: how often each is taken."""
+    spark = rows.sparkSession
     sums = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
@@ -153,26 +147,78 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeat: int = 3,
         k = given // words if words else 0
         first = p[0] if p else None
         plan.append((named[p], words, int(k), float(given - k * words), sizes.get(first, 0) if p else 0, float(quota[first]) if p else 0.0))
-    schema = "pattern string, words long, times long, rest double, source_size long, target double"
-    planned = F.broadcast(spark.createDataFrame(plan, schema))  # at most MAX_PATTERNS rows
-    r = rows.join(planned, "pattern")
-    large = (F.col("size") > 0) & (F.col("size") >= F.col("words") * LARGE)
-    big = r.where(large)
+    schema = "pattern string, words long, whole long, rest double, source_size long, target double"
+    r = rows.join(F.broadcast(spark.createDataFrame(plan, schema)), "pattern")  # at most MAX_PATTERNS rows
+    r = r.withColumn("large", (F.col("size") > 0) & (F.col("size") >= F.col("words") * LARGE))
+    big = r.where("large").select("pattern", "size", "u", "r", "rest", "words")
     share = big.groupBy("pattern").agg(F.sum("size").alias("big"))
     big = big.join(share, "pattern").withColumn("want", F.col("rest") * F.col("big") / F.col("words"))
     big = materialize(big.groupBy("pattern").applyInPandas(_greedy, _ROW))
-    done = big.groupBy("pattern").agg(F.sum(F.when(F.col("picked"), F.col("size")).otherwise(0)).alias("done"))
-    bucket = F.shiftrightunsigned("u", 64 - BUCKETS.bit_length() + 1).cast("int")
-    small = r.where(~large).withColumn("bucket", bucket).join(F.broadcast(done), "pattern", "left").withColumn("want", F.col("rest") - F.coalesce("done", F.lit(0)))
-    sums = small.groupBy("pattern", "bucket", "want").agg(F.sum("size").alias("s"))
-    upto = F.sum("s").over(Window.partitionBy("pattern").orderBy("bucket"))
-    edge = sums.withColumn("upto", upto).where("upto > want").groupBy("pattern").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("s")).alias("before"))).alias("e"))
-    edge = edge.select("pattern", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before"))
-    small = small.join(F.broadcast(edge), "pattern", "left")
-    clear = small.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("picked", F.col("edge").isNull() | (F.col("bucket") < F.col("edge")))
-    run = F.sum("size").over(Window.partitionBy("pattern").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    at = small.where("bucket = edge").withColumn("run", run).withColumn("picked", F.col("before") + F.col("run") - F.col("size") / 2 <= F.col("want"))
-    cols = ["doc_id", "pattern", "size", "_th", "picked"]
-    every = clear.select(*cols).unionByName(at.select(*cols)).unionByName(big.select(*cols)).join(planned, "pattern")
-    taken = F.col("size") * (F.col("times") + F.when(F.col("picked") & (F.col("rest") > 0), 1).otherwise(0))
-    return every.select("doc_id", "pattern", "size", "source_size", "target", taken.cast("long").alias("taken"), "_th")
+    done = F.broadcast(big.groupBy("pattern").agg(F.sum(F.when(F.col("picked"), F.col("size")).otherwise(0)).alias("done")))
+    r = r.join(done, "pattern", "left").withColumn("want", F.col("rest") - F.coalesce("done", F.lit(0)))
+    edges, level = _edges(r.where("NOT large"), 0), 0
+    r = r.join(edges, "pattern", "left").withColumn("digit", _digit(0))
+    # below the edge all are picked, above it none; those at it are split further, until few enough are left to put in order
+    known = F.when(F.col("large") | (F.col("digit") == F.col("edge")), F.lit(None)).otherwise(F.col("edge").isNull() | (F.col("digit") < F.col("edge")))
+    at = materialize(r.where("NOT large AND digit = edge").select("pattern", "size", "u", "v", "r", (F.col("want") - F.col("before")).alias("want")))
+    decided = [big.select("r", "picked")]
+    while (at.groupBy("pattern").count().agg(F.max("count")).first()[0] or 0) > ORDERED and level < 9:
+        level += 1
+        cut = at.join(_edges(at, level), "pattern", "left").withColumn("digit", _digit(level))
+        decided.append(materialize(cut.where("edge IS NULL OR digit != edge").select("r", (F.col("edge").isNull() | (F.col("digit") < F.col("edge"))).alias("picked"))))
+        at = materialize(cut.where("digit = edge").select("pattern", "size", "u", "v", "r", (F.col("want") - F.col("before")).alias("want")))
+    run = F.sum("size").over(Window.partitionBy("pattern").orderBy("u", "v", "r").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    decided.append(at.withColumn("run", run).select("r", (F.col("run") - F.col("size") / 2 <= F.col("want")).alias("picked")))
+    told = decided[0]
+    for t in decided[1:]:
+        told = told.unionByName(t)
+    r = r.withColumn("known", known)
+    cols = [*rows.columns, "whole", "rest", "source_size", "target"]
+    every = r.where("known IS NOT NULL").select(*cols, F.col("known").alias("picked")).unionByName(r.where("known IS NULL").select(*cols).join(told, "r").select(*cols, "picked"))
+    times = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("picked") & (F.col("rest") > 0), 1).otherwise(0)).otherwise(0)
+    return every.withColumn("times", times.cast("long")).drop("whole", "rest", "picked")
+
+
+def _rows(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, carry: bool = False) -> DataFrame:
+    """A row of ``docs`` by what _plan needs, in seeded order (u; v among rows alike), with all of its columns if ``carry``."""
+    placed, at = by_place(docs, doc_id=id_col, text=text_col, source=source_col)
+    several = placed.schema[at["source"]].dataType.typeName() == "array"
+    source, text = F.col(at["source"]), F.coalesce(F.col(at["text"]), F.lit(""))
+    members = F.array_sort(F.array_distinct(source)) if several else F.array(source)
+    # JSON leaves nulls out of no array, so null is a member like others
+    pattern = F.to_json(F.coalesce(members, F.array().cast("array<string>"))).alias("pattern")
+    doc_id = F.col(at["doc_id"]).cast("long").alias("doc_id")
+    kept = [F.struct(*placed.columns).alias("row")] if carry else []
+    d = placed.select(doc_id, pattern, word_count(text).alias("size"), F.xxhash64(F.lit(seed), doc_id, text).alias("u"), F.monotonically_increasing_id().alias("r"), *kept)
+    return materialize(d.withColumn("v", F.xxhash64("r")))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeat: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of ``docs``: doc_id, pattern, size, source_size, target, taken.
+
+    ``source_col`` is a source, or an array of them where sources overlap; documents are summed by pattern,
+    the set of their sources, and only these sums reach the driver (at most MAX_PATTERNS). A flow routes
+    words from patterns to the sources' targets; a pattern that gives k times its words and a rest takes
+    every document k times, and some once more, chosen by a hash of ``seed``, doc_id and text until the rest is
+    met: large ones first, one by one; then the others up to a bucket of the hash found from sums by
+    bucket, then a bucket of the next bits within it, until few are left, which are put in order. So no task sees
+    more than ORDERED rows of a pattern in order, and a source misses its target by half a document at most,
+    commonly a small one.
+
+    source_size and target are those of the source; of an overlapping document's first source. Nulls:
+    a null text has size 0, a null source is a source (the last); an empty array of sources takes nothing.
+    Documents of size 0 take 0. Rows that repeat are documents of their own, any of which may be taken. Null ids
+    are told apart by text. Empty input gives no rows. Other columns are ignored. Reruns agree.
+    """
+    out = _plan(_rows(docs, seed, id_col, text_col, source_col), weights, repeat)
+    return out.select("doc_id", "pattern", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeat: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as mix() takes it: not at all, or up to ``repeat`` times.
+
+    Rows are written once beside their key and not moved again, but for the few whose turn comes by order. Nulls
+    and the rest are as in mix(); other columns stay, whatever their names.
+    """
+    out = _plan(_rows(docs, seed, id_col, text_col, source_col, carry=True), weights, repeat).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*").toDF(*docs.columns)
