@@ -3,12 +3,21 @@
 A word starts at a letter (A-Z, a-z, U+05D0-U+05EA) and goes on over letters, diacritics, double quotes and
 whole tags; only its letters are kept, and it counts if 2 to 44 are. Offsets and lengths are in code points.
 Patterns are possessive, so that long words and many tags need no stack.
+
+Words alone are column expressions. Offsets are running sums along a text, for which there is no column
+expression of linear time, so ``tokens`` scans each text once in Arrow batches. Nothing is shuffled: a
+row's tokens depend on that row only, whatever other rows share its id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LETTER = r"A-Za-z\x{05D0}-\x{05EA}"
 MARKS = r"\x{0591}-\x{05BD}\x{05BF}-\x{05C7}\x{0300}-\x{036F}\x{1AB0}-\x{1AFF}\x{1DC0}-\x{1DFF}\x{20D0}-\x{20FF}\x{FE20}-\x{FE2F}"
@@ -76,14 +85,58 @@ def word_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(words(F.col(text_col), tag_mode)).alias("position", "word")).select("doc_id", "word", "position")
 
 
+def _python(pattern: str) -> str:
+    return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{m[1]}", pattern)
+
+
+class Scanner:
+    """``scan(text)``: the words that count, where they start and how long they are, marks and tags included."""
+
+    def __init__(self, tag_mode: str = "clean"):
+        self.find = re.compile(_python(f"({word_pattern(tag_mode)})|<[^>]*+>?")).finditer
+        self.drop = re.compile(_python(f'{_check(tag_mode)}|[{MARKS}"]')).sub
+
+    def scan(self, text: str) -> Iterator[tuple[str, int, int]]:
+        for m in self.find(text):
+            raw = m[1]
+            if raw is None:
+                continue
+            word = raw if raw.isalpha() else self.drop("", raw)
+            if SHORTEST <= len(word) <= LONGEST:
+                yield word, m.start(), len(raw)
+
+
+#: Tokens of one Arrow batch, about.
+BATCH = 100_000
+
+
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag_mode: str = "clean") -> DataFrame:
     """(doc_id, word, position, char_start, char_len); char_len spans the raw word, tags and marks included.
 
-    One exchange by doc_id serves the running sum and any grouping by document after it.
+    A null or empty text has none. Rows that share an id, or have none, are each numbered from 0.
     """
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(pieces(F.col(text_col), tag_mode)).alias("k", "piece"))
-    before = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    word = F.when(is_word(F.col("piece")), letters_of(F.col("piece"), tag_mode))
-    spans = cut.select("doc_id", "k", F.length("piece").alias("char_len"), F.when(counts(word), word).alias("word"))
-    placed = spans.select("doc_id", "word", F.coalesce(F.count("word").over(before), F.lit(0)).cast("int").alias("position"), F.coalesce(F.sum("char_len").over(before), F.lit(0)).cast("int").alias("char_start"), "char_len")
-    return placed.where(F.col("word").isNotNull())
+    _check(tag_mode)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    out = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("word", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("position", "char_start", "char_len")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = Scanner(tag_mode).scan
+        for b in batches:
+            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
+            rows, held = [], []
+            for i, text in enumerate(texts):
+                found = list(scan(text))
+                rows += [i] * len(found)
+                held += [(w, k, s, n) for k, (w, s, n) in enumerate(found)]
+                if held and (len(held) >= BATCH or i == len(texts) - 1):
+                    yield emit(ids, rows, held)
+                    rows, held = [], []
+            if held:
+                yield emit(ids, rows, held)
+
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32())
+
+    def emit(ids: pa.Array, rows: list, held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), *(pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True))], names=out.names)
+
+    return d.mapInArrow(run, out)

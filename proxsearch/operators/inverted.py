@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import tokens
+from ..functions.text import BATCH, Scanner
+from ..schemas import POSTING
 
 CASES = ("first_spelling", "fold")
 
 
 def group_tokens(toks: DataFrame, case: str = "first_spelling") -> DataFrame:
-    """(term, doc_id, postings): one row per document and word whatever its case.
+    """(term, doc_id, postings) of tokens from anywhere, by one shuffle: one row per document and word whatever its case.
 
     The term is the spelling met first in the document, or the lower-cased word ("fold").
     """
@@ -24,8 +29,51 @@ def group_tokens(toks: DataFrame, case: str = "first_spelling") -> DataFrame:
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag_mode: str = "clean", case: str = "first_spelling") -> DataFrame:
-    """The index of ``docs`` as rows; documents that are null or blank give none."""
-    return group_tokens(tokens(docs, id_col, text_col, tag_mode), case)
+    """The index of ``docs`` as rows (term, doc_id, postings); documents that are null or blank give none.
+
+    Each text is scanned once, where it lies, and its words are grouped there: nothing is shuffled. Rows that share an
+    id, or have none, give rows of their own each, positions from 0.
+    """
+    if case not in CASES:
+        raise ValueError(f"case: {case!r}")
+    Scanner(tag_mode)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    out = T.StructType([T.StructField("term", T.StringType()), T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("postings", T.ArrayType(POSTING))])
+    names = POSTING.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = Scanner(tag_mode).scan
+
+        def emit(ids: pa.Array) -> pa.RecordBatch:
+            ends = [0]
+            for x in lists:
+                ends.append(ends[-1] + len(x))
+            flat = zip(*(p for x in lists for p in x), strict=True)
+            postings = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in flat], names))
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), ids.take(pa.array(rows)), postings], names=out.names)
+
+        for b in batches:
+            terms, rows, lists, n = [], [], [], 0
+            for i, text in enumerate(b.column("text").to_pylist()):
+                own: dict[str, tuple[str, list]] = {}
+                k = -1
+                for k, (word, start, size) in enumerate(scan(text)):
+                    folded = word.lower()
+                    if folded in own:
+                        own[folded][1].append((k, start, size))
+                    else:
+                        own[folded] = word, [(k, start, size)]
+                terms += own if case == "fold" else [w for w, _ in own.values()]
+                lists += [x for _, x in own.values()]
+                rows += [i] * len(own)
+                n += k + 1
+                if n >= BATCH:
+                    yield emit(b.column("doc_id"))
+                    terms, rows, lists, n = [], [], [], 0
+            if rows:
+                yield emit(b.column("doc_id"))
+
+    return d.mapInArrow(run, out)
 
 
 def vocabulary(index: DataFrame) -> DataFrame:

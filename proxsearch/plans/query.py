@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.wildcard import is_pattern, matches
 from ..operators.inverted import bucket
-from ..operators.proximity import chains
+from ..operators.proximity import chain_rows
 
 RESULT = "doc_id long, matches array<array<struct<position:int,char_start:int,char_len:int>>>"
 
@@ -57,32 +57,31 @@ def _wanted(query: Query, buckets: int | None) -> Column:
     return cond
 
 
-def grouped(index: DataFrame, query: Query, buckets: int | None = None) -> DataFrame:
-    """(doc_id, l0, l1, ...): per document that has every term, the postings of each, in order.
+def grouped(index: DataFrame | Callable[[Column], DataFrame], query: Query, buckets: int | None = None) -> DataFrame:
+    """(doc_id, l0, l1, ...): per document that has every term, the postings of each, in no order.
 
     One scan and one shuffle, whatever the number of terms: a term's postings are the union over the
-    words it stands for; a repeated term is a list of its own.
+    words it stands for; a repeated term is a list of its own. ``index``: rows, or what gives them for a condition.
     """
     cols = []
     for i, t in enumerate(query.terms):
         mine = F.when(matches(F.col("term"), t, query.budget), F.col("postings"))
-        cols.append(F.array_sort(F.flatten(F.collect_list(mine))).alias(f"l{i}"))
-    rows = index.where(_wanted(query, buckets)).groupBy("doc_id").agg(*cols)
+        cols.append(F.flatten(F.collect_list(mine)).alias(f"l{i}"))
+    wanted = _wanted(query, buckets)
+    rows = (index(wanted) if callable(index) else index.where(wanted)).groupBy("doc_id").agg(*cols)
     for i in range(len(cols)):
         rows = rows.where(F.size(f"l{i}") > 0)
     return rows
 
 
-def search(index: DataFrame, query: Query, buckets: int | None = None) -> DataFrame:
+def search(index: DataFrame | Callable[[Column], DataFrame], query: Query, buckets: int | None = None) -> DataFrame:
     """(doc_id, matches) of the documents that match, in ascending order of doc_id.
 
     A document with all terms but no match is left out unless keep_unmatched. An empty query finds nothing.
     """
     if not query.terms:
-        return index.sparkSession.createDataFrame([], RESULT)
-    lists = [F.col(f"l{i}") for i in range(len(query.terms))]
-    found = grouped(index, query, buckets).select("doc_id", chains(lists, query.adjacency).alias("matches"))
-    return (found if query.keep_unmatched else found.where(F.size("matches") > 0)).orderBy("doc_id")
+        return SparkSession.active().createDataFrame([], RESULT)
+    return chain_rows(grouped(index, query, buckets), len(query.terms), query.adjacency, query.keep_unmatched).orderBy("doc_id")
 
 
 def rarest_first(index: DataFrame, vocab: DataFrame, query: Query) -> DataFrame:
@@ -98,8 +97,6 @@ def rarest_first(index: DataFrame, vocab: DataFrame, query: Query) -> DataFrame:
     return index.join(some, "doc_id", "left_semi")
 
 
-
-
 class LatestSearch:
     """Runs one action at a time: starting another cancels the jobs of the one before, started or not."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import codec, text
 from .functions.snippets import file_name, snippets
 from .functions.wildcard import legacy_matches, matches, star_budget
-from .operators import inverted
+from .operators import inverted, late
 from .operators.index import Index
 from .operators.proximity import chain_join
 from .plans.query import Query, expansion, grouped, search
@@ -178,17 +178,21 @@ def _canonical(spark: SparkSession, sf: str) -> DataFrame:
     return number_rows(names.withColumn("k", key), ["k"], "place").select("source", "place")
 
 
+_FIRST_WORD = r"^[\t\n\f\r ]*[^\t\n\f\r ]+"
+
+
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
     """Two appended batches: all documents, then all again with a word in place of the first."""
     first = _table(spark, sf).select("doc_id", "text")
-    second = first.withColumn("text", F.regexp_replace("text", r"^\s*\S+", "reindexed"))
+    second = first.withColumn("text", F.regexp_replace("text", _FIRST_WORD, "reindexed"))
     parts = [inverted.build(x).withColumn("segment_id", F.lit(i)) for i, x in enumerate((first, second))]
     return parts[0].unionByName(parts[1])
 
 
-_SEG_SQL = f"""WITH a AS (SELECT doc_id, substr(text, 1, 300) AS text FROM documents WHERE doc_id % 3 < 2), b AS (SELECT doc_id, substr(text, 200, 300) AS text FROM documents WHERE doc_id % 3 > 0),
-{_sql_tok(("a", "doc_id", "text"), name="ta")},
-{_sql_tok(("b", "doc_id", "text"), name="tb")},
+_AGAIN_SQL = f"SELECT doc_id, regexp_replace(text, '{_FIRST_WORD}', 'reindexed') AS text FROM documents"
+_SEG_SQL = f"""WITH again AS ({_AGAIN_SQL}),
+{_sql_tok(name="ta")},
+{_sql_tok(("again", "doc_id", "text"), name="tb")},
 rows AS (SELECT 0 AS segment_id, doc_id, first_value(word) OVER (PARTITION BY doc_id, lower(word) ORDER BY position) AS term, position FROM ta
    UNION ALL SELECT 1, doc_id, first_value(word) OVER (PARTITION BY doc_id, lower(word) ORDER BY position), position FROM tb),
 seg AS (SELECT segment_id, doc_id, term, string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS positions FROM rows GROUP BY segment_id, doc_id, term)
@@ -264,14 +268,19 @@ snip AS (SELECT doc_id, source, regexp_replace(substr(text, a + 1, s0 - a) || '<
 {select}"""
 
 
+#: chr(1) and chr(2) stand for the marks while tags are removed, as RE2 can't except them.
+_PAGE_SNIPPETS_SQL = f"""WITH {_sql_idx("fold", _PAGES)}, m AS (SELECT * FROM idx WHERE term = 'the'),
+cut AS (SELECT m.*, p.html, greatest(char_start - 100, 0) AS a, least(char_start + char_len + 100, length(p.html)) AS e FROM m JOIN pages p ON p.page_id = m.doc_id),
+marked AS (SELECT doc_id, substr(html, a + 1, char_start - a) || chr(1) || substr(html, char_start + 1, char_len) || chr(2) || substr(html, char_start + char_len + 1, e - char_start - char_len) AS s FROM cut),
+plain AS (SELECT doc_id, regexp_replace(s, '<[^>]*>|^[^<\\x01]*?>|<[^>]*$', '', 'g') AS s FROM marked)
+SELECT doc_id, regexp_replace(replace(replace(s, chr(1), '<mark>'), chr(2), '</mark>'), '^[\\s\\x0B\\x{{85}}\\pZ]+|[\\s\\x0B\\x{{85}}\\pZ]+$', '', 'g') AS snippet FROM plain"""
+
+
 def _late(spark: SparkSession, sf: str) -> DataFrame:
     """Matches from positions alone; offsets by tokenizing only the found documents again."""
     d = _table(spark, sf)
-    words = text.word_positions(d).withColumn("folded", F.lower("word"))
-    postings = words.groupBy("doc_id", "folded").agg(F.array_sort(F.collect_list(F.struct("position"))).alias("postings")).select(F.col("folded").alias("term"), "doc_id", "postings")
-    found = search(postings, _SNIPPET_QUERY).select("doc_id", F.explode("matches").alias("m")).select("doc_id", F.explode("m.position").alias("position")).distinct()
-    spans = text.tokens(d.join(found.select("doc_id").distinct(), "doc_id", "left_semi"))
-    return spans.join(found, ["doc_id", "position"]).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("position", "char_start", "char_len")])
+    found = search(late.build_positions(d), _SNIPPET_QUERY)
+    return late.with_offsets(found, d).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("position", "char_start", "char_len")])
 
 
 def _chain_joined(spark: SparkSession, sf: str) -> DataFrame:
@@ -338,6 +347,26 @@ def _stored(spark: SparkSession, sf: str) -> DataFrame:
     return index.search("of the").select("doc_id", F.explode("matches").alias("m")).select("doc_id", _positions("m").alias("positions"))
 
 
+def _several_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored index of three segments, the last of which replaces documents, and a deletion; nothing compacted."""
+    d = _table(spark, sf).select("doc_id", "text")
+    index = Index(spark, scratch(spark), buckets=16, case="fold")
+    index.append(d.where("doc_id % 2 = 0"))
+    index.append(d.where("doc_id % 2 = 1"))
+    index.append(d.where("doc_id % 3 = 0").withColumn("text", F.regexp_replace("text", _FIRST_WORD, "reindexed of the")))
+    index.delete(_table(spark, sf, "labels").where("toxic = 1").select("doc_id"))
+    return index.search("of the").select("doc_id", F.explode("matches").alias("m")).select("doc_id", _positions("m").alias("positions"))
+
+
+_CHANGED_SQL = f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '{_FIRST_WORD}', 'reindexed of the') ELSE text END AS text FROM main.documents"
+
+
+def _shared_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of rows that share ids, some of them null: each row is numbered from 0."""
+    d = _table(spark, sf).select(F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 7).alias("doc_id"), "text")
+    return text.tokens(d).select("doc_id", "word", *[F.col(c).cast("long").alias(c) for c in ("position", "char_start", "char_len")])
+
+
 def _streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The vocabulary of an index filled by a stream."""
     d = _table(spark, sf)
@@ -363,7 +392,7 @@ def queries() -> dict[str, Fn]:
         "merge_last_wins": _merged(inverted.merge_last_wins), "reindex_replace": _merged(inverted.merge_replace), "delete_docs": _delete,
         "snippets_plain": _snippets_plain, "snippets_pages": _snippets_pages, "late_offsets": _late, "result_html": _result_html,
         "strip_tags": _strip(text.strip_tags, "stripped"), "strip_hebrew_marks": _strip(text.strip_hebrew_marks, "stripped", _DOCS),
-        "stored_index_search": _stored, "stream_ingest_vocabulary": _streamed,
+        "stored_index_search": _stored, "stored_segments_search": _several_segments, "tokens_shared_ids": _shared_ids, "stream_ingest_vocabulary": _streamed,
         "wild_multi_star": _wild("t*e*r", "scaled"),
     }
     out |= {k: _search(q) for k, q in _SEARCHES.items()}
@@ -376,7 +405,7 @@ def oracle_sql() -> dict[str, str]:
     fold, first = _sql_idx("fold"), _sql_idx("first_spelling")
     ands = f"WITH {_sql_chain(Query('with that', 0, fold=True), 'fold')}, n AS (SELECT doc_id, count(*) AS n FROM c1 GROUP BY doc_id)"
     glued = r"""[\p{L}\p{M}_]+(?:(?:<[^>]*>|")[\p{L}\p{M}_]+)*"""
-    seg_out = _SEG_SQL + "SELECT term, doc_id, positions FROM seg s WHERE segment_id = (SELECT max(segment_id) FROM seg o WHERE o.doc_id = s.doc_id{0})"
+    seg_out = _SEG_SQL + "SELECT term, doc_id, positions FROM seg QUALIFY segment_id = max(segment_id) OVER (PARTITION BY doc_id{0})"
     out = {
         "tokens_documents": f"WITH {_sql_tok()} SELECT * FROM tok",
         "tokens_pages_clean": f"WITH {_sql_tok(_PAGES)} SELECT * FROM tok",
@@ -387,27 +416,31 @@ def oracle_sql() -> dict[str, str]:
         "vocab_fold": f"WITH {fold} SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS coll_freq FROM idx GROUP BY term",
         "vocab_key_order": _VOCAB_SQL + "SELECT term, sha256(term) AS key FROM vocab ORDER BY key",
         "doc_registry": _REGISTRY_SQL,
-        "path_lookup": f"WITH r AS ({_REGISTRY_SQL}), a AS (SELECT url AS path FROM pages WHERE page_id % 7 = 0 UNION ALL SELECT 'no/such/path') SELECT a.path, coalesce(r.doc_id, -1) AS doc_id FROM a LEFT JOIN r ON r.path = a.path",
-        "id_lookup": f"WITH r AS ({_REGISTRY_SQL}), a AS (SELECT * FROM (VALUES (1), (2), (100000000)) v(doc_id)) SELECT CAST(a.doc_id AS BIGINT) AS doc_id, 'root/' || r.path AS path FROM a LEFT JOIN r ON r.doc_id = a.doc_id",
+        "path_lookup": f"WITH r AS ({_REGISTRY_SQL}), a AS (SELECT url AS path FROM pages UNION ALL SELECT 'no/such/path') SELECT a.path, coalesce(r.doc_id, -1) AS doc_id FROM a LEFT JOIN r ON r.path = a.path",
+        "id_lookup": f"WITH r AS ({_REGISTRY_SQL}), a AS (SELECT doc_id FROM r UNION ALL SELECT 100000000) SELECT CAST(a.doc_id AS BIGINT) AS doc_id, 'root/' || r.path AS path FROM a LEFT JOIN r ON r.doc_id = a.doc_id",
         "canonical_order": "SELECT source, row_number() OVER (ORDER BY CASE source WHEN 'src7' THEN 1 WHEN 'src3' THEN 2 WHEN 'src11' THEN 3 ELSE 4 END, source) AS place FROM (SELECT DISTINCT source FROM documents)",
         "extension_filter": r"SELECT page_id, url FROM pages WHERE lower(regexp_extract(url, '(\.[^./\\]*)$', 1)) IN ('.html', '.txt')",
         "blank_filter": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]')",
         "file_names": r"SELECT page_id, regexp_extract(url, '[^\\/]*$') AS name FROM pages",
         "delta_encode": f"WITH {_DELTAS_SQL} SELECT term, doc_id, string_agg(CAST(dp AS VARCHAR), ',' ORDER BY position) AS positions, string_agg(CAST(ds AS VARCHAR), ',' ORDER BY position) AS starts FROM d GROUP BY term, doc_id",
-        "delta_roundtrip": f"WITH {_DELTAS_SQL}, r AS (SELECT term, doc_id, position = sum(dp) OVER (PARTITION BY term, doc_id ORDER BY position) AS same FROM d) SELECT term, doc_id, bool_and(same) AS same FROM r GROUP BY term, doc_id HAVING count(*) <= 200",
+        "delta_roundtrip": f"WITH {_DELTAS_SQL}, r AS (SELECT term, doc_id, position = sum(dp) OVER (PARTITION BY term, doc_id ORDER BY position) AS same FROM d) SELECT term, doc_id, bool_and(same) AS same FROM r GROUP BY term, doc_id",
         "varint_size": f"WITH {_DELTAS_SQL}, r AS (SELECT term, doc_id, sum({_SIZE.format('dp')} + {_SIZE.format('ds')} + {_SIZE.format('char_len')}) AS s, count(*) AS n FROM d GROUP BY term, doc_id) SELECT term, CAST(sum(s + {_SIZE.format('n')} + {_SIZE.format('doc_id')}) AS BIGINT) AS bytes FROM r GROUP BY term",
         "query_expansion": f"WITH {fold}, v AS (SELECT DISTINCT term FROM idx), " + "q AS (SELECT CAST(0 AS BIGINT) AS term_no, 'th*' AS pattern, term FROM v WHERE {0} UNION ALL SELECT 1, 'of', term FROM v WHERE {1} UNION ALL SELECT 2, 't?e', term FROM v WHERE {2}) SELECT * FROM q".format(*(_sql_match("term", p) for p in ("th*", "of", "t?e"))),
         "or_expansion_docs": f"WITH {fold} SELECT doc_id, count(*) AS n FROM idx WHERE {_sql_match('term', 'ther*')} GROUP BY doc_id",
         "and_docs": f"{ands} SELECT doc_id, n AS n_matches FROM n",
         "and_docs_unmatched_kept": f"{ands} SELECT d.doc_id, coalesce(n.n, 0) AS n_matches FROM (SELECT DISTINCT t0.doc_id FROM t0 JOIN t1 ON t0.doc_id = t1.doc_id) d LEFT JOIN n ON n.doc_id = d.doc_id",
         "near_join_form": _search_sql(_SEARCHES["near3_a5"]),
-        "merge_last_wins": seg_out.replace("{0}", " AND o.term = s.term"),
+        "merge_last_wins": seg_out.replace("{0}", ", term"),
         "reindex_replace": seg_out.replace("{0}", ""),
         "delete_docs": f"WITH {first} SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS coll_freq FROM idx WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY term",
         "snippets_plain": _snippet_sql("SELECT doc_id, snippet FROM snip"),
         "result_html": _snippet_sql("SELECT doc_id, '<li><b>' || doc_id || '.txt</b> Document id: ' || doc_id || '<br>' || snippet || '</li>' AS item FROM snip"),
         "late_offsets": f"WITH {_sql_chain(_SNIPPET_QUERY, 'fold')}, m AS (SELECT doc_id, p0 AS position FROM c1 UNION SELECT doc_id, p1 FROM c1) SELECT m.doc_id, m.position, char_start, char_len FROM m JOIN idx ON idx.doc_id = m.doc_id AND idx.position = m.position",
         "stored_index_search": _search_sql(_SEARCHES["near2_a2"]) + " WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+        "stored_segments_search": _search_sql(_SEARCHES["near2_a2"]).replace("FROM documents", f"FROM ({_CHANGED_SQL})") + " WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+        "tokens_shared_ids": f"WITH {_sql_tok()} SELECT CASE WHEN doc_id % 5 > 0 THEN doc_id % 7 END AS doc_id, word, position, char_start, char_len FROM tok",
+        "wild_multi_star": _VOCAB_SQL + "SELECT term FROM vocab WHERE regexp_matches(term, '^t[^e]{0,5}e.{0,5}r$')",
+        "snippets_pages": _PAGE_SNIPPETS_SQL,
         "stream_ingest_vocabulary": f"WITH {first} SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS coll_freq FROM idx GROUP BY term",
         "strip_tags": "SELECT page_id, regexp_replace(html, '<.*?>', '', 'g') AS stripped FROM pages",
         "strip_hebrew_marks": r"SELECT doc_id, regexp_replace(text, '[\x{0591}-\x{05CF}]', '', 'g') AS stripped FROM documents",

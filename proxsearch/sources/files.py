@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +22,48 @@ def has_extension(path: Column, extensions: Sequence[str]) -> Column:
     return extension(path).isin([e.lower() for e in extensions])
 
 
-def read_files(spark: SparkSession, root: str, extensions: Sequence[str] = (".txt",)) -> DataFrame:
-    """(path, text) of all files under ``root``, one row a file. Unreadable files are skipped; .pdf has no text here."""
-    raw = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).text(root, wholetext=True)
-    files = raw.select(F.col("_metadata.file_path").alias("path"), "value").where(has_extension(F.col("path"), extensions))
-    return files.select("path", F.when(extension(F.col("path")) == ".txt", F.col("value")).otherwise("").alias("text"))
+#: Byte order marks, the longer ones first; without any a text is UTF-8.
+_MARKS = ((b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+
+
+def decode(raw: bytes) -> str:
+    """Text of a file as its byte order mark says; what isn't valid becomes U+FFFD."""
+    for mark, encoding in _MARKS:
+        if raw.startswith(mark):
+            return raw[len(mark) :].decode(encoding, "replace")
+    return raw.decode("utf-8", "replace")
+
+
+_READ = "path string, text string, error string"
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts, errors = [], []
+        for raw, size in zip(b.column("content").to_pylist(), b.column("length").to_pylist(), strict=True):
+            text, error = None, None
+            if raw is not None and size is not None:
+                try:
+                    text = decode(raw)
+                except Exception as e:  # noqa: BLE001 - whatever one file has, the others are read
+                    error = str(e)
+            texts.append("" if raw is None else text)
+            errors.append(error)
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "text", "error"])
+
+
+def read_files(spark: SparkSession, root: str, extensions: Sequence[str] = (".txt",), errors: bool = False) -> DataFrame:
+    """(path, text) of all files under ``root``, one row a file; paths as they are, blanks and all, not percent-encoded.
+
+    Texts are decoded by their byte order mark. A .pdf, or any but .txt, has an empty text here, and isn't read. Files
+    without a byte have no row (nothing of them would be indexed); those that can't be read are skipped; one that can't be decoded has a null text, and, with ``errors``, an error.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
+    found = raw.where(has_extension(F.col("path"), extensions))
+    is_text = extension(F.col("path")) == ".txt"
+    read = found.where(is_text).select("path", "content", "length").mapInArrow(_texts, _READ)
+    out = read.unionByName(found.where(~is_text).select("path", F.lit("").alias("text"), F.lit(None).cast("string").alias("error")))
+    return out if errors else out.drop("error")
 
 
 def rank(name: Column, order: Sequence[str]) -> Column:

@@ -1,11 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from proxsearch.operators import inverted
 from proxsearch.operators.index import Index
-from proxsearch.operators.proximity import chain_join, chains
+from proxsearch.operators.proximity import chain_join, chain_rows, chains
 from proxsearch.plans.query import Query, expansion, rarest_first, search
 from proxsearch.schemas import POSTING
 from proxsearch.sources import files
@@ -152,6 +153,122 @@ def test_files_and_registry(spark, tmp_path):
     assert "<li><b>b.txt</b> Document id: 2<br><mark>x</mark></li>" in page
 
 
+def test_files_as_they_are(spark, tmp_path):
+    """Byte order marks, names with blanks and Hebrew letters, broken bytes."""
+    texts = {
+        "a b/one two.txt": "plain שלום".encode(), "ספר אחד/א%20ב.txt": "\ufeffwith a mark".encode(), "le.txt": b"\xff\xfe" + "שלום le".encode("utf-16-le"), "be.txt": b"\xfe\xff" + "שלום be".encode("utf-16-be"),
+        "32.TXT": b"\xff\xfe\x00\x00" + "long".encode("utf-32-le"), "bad.txt": b"ok \xff\xfa ok", "odd.txt": b"\xff\xfea\x00b", "empty.txt": b"", "p.pdf": b"%PDF",
+    }
+    for name, raw in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    got = files.read_files(spark, str(tmp_path), [".txt", ".pdf"], errors=True)
+    assert got.where("error IS NOT NULL").count() == 0
+    rel = got.select(files.relative(F.regexp_replace("path", "^file:/+", "file:/"), f"file:{tmp_path}").alias("path"), "text")
+    want = {"a b/one two.txt": "plain שלום", "ספר אחד/א%20ב.txt": "with a mark", "le.txt": "שלום le", "be.txt": "שלום be", "32.TXT": "long", "bad.txt": "ok \ufffd\ufffd ok", "odd.txt": "a\ufffd", "p.pdf": ""}
+    assert {r["path"]: r["text"] for r in rel.collect()} == want
+    empty = spark.createDataFrame([], "doc_id long, path string, sort_key string")
+    order = [r["path"] for r in files.assign_ids(rel.where("path LIKE '%/%'"), empty, directories=["ספר אחד"], files=["one two"]).orderBy("doc_id").collect()]
+    assert order == ["ספר אחד/א%20ב.txt", "a b/one two.txt"]
+
+
+def test_rows_that_share_ids(spark):
+    from proxsearch.functions import text
+
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "delta epsilon"), (None, "zeta eta zeta"), (None, None), (3, "")], "doc_id long, text string")
+    want = [("1", "alpha", 0, 0), ("1", "beta", 1, 6), ("1", "delta", 0, 0), ("1", "epsilon", 1, 6), ("None", "eta", 1, 5), ("None", "zeta", 0, 0), ("None", "zeta", 2, 9)]
+    assert sorted((str(r["doc_id"]), r["word"], r["position"], r["char_start"]) for r in text.tokens(docs).collect()) == want
+    assert "Exchange" not in inverted.build(docs)._jdf.queryExecution().executedPlan().toString()
+    rows = inverted.build(docs).select("doc_id", "term", F.explode("postings").alias("p")).select("doc_id", "term", "p.*").collect()
+    assert sorted((str(r["doc_id"]), r["term"], r["position"], r["char_start"]) for r in rows) == want
+
+
+def test_build_equals_grouping(spark):
+    from proxsearch.functions import text
+
+    docs = docs_of(spark, {1: 'The the THE <b>thE</b> שָׁלוֹם "quo"ted and\n' * 50, 2: "a <i>b c", 4: "x" * 50 + " " + "y" * 44})
+    for mode in ("clean", "swallow"):
+        for case in inverted.CASES:
+            show = lambda df: sorted((r["term"], r["doc_id"], [tuple(p) for p in r["postings"]]) for r in df.collect())
+            assert show(inverted.build(docs, tag_mode=mode, case=case)) == show(inverted.group_tokens(text.tokens(docs, tag_mode=mode), case))
+
+
+def test_chain_rows_equal_chains(spark):
+    rng = random.Random(11)
+    lists = [[sorted(rng.sample(range(30), rng.randrange(1, 12))) for _ in range(3)] for _ in range(80)]
+    for n in (1, 2, 3):
+        for adjacency in (0, 2, 5):
+            rows = [(i, *[[(x, 7 * x, 2) for x in one] for one in own[:n]]) for i, own in enumerate(lists)]
+            df = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"l{k} array<{POSTING.simpleString()}>" for k in range(n))).coalesce(2)
+            for keep in (False, True):
+                got = {r["doc_id"]: [tuple(p["position"] for p in m) for m in r["matches"]] for r in chain_rows(df.withColumn("l0", F.reverse("l0")), n, adjacency, keep).collect()}
+                want = {i: greedy(own[:n], adjacency) for i, own in enumerate(lists)}
+                assert got == {i: w for i, w in want.items() if keep or w}
+
+
+def test_several_segments(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = Index(spark, path, buckets=8, case="fold")
+    batches = [{i: f"alpha beta w{'abcdefgh'[i % 8]}" for i in range(40)}, {i: "alpha xx beta" for i in range(0, 40, 3)}, {50: "beta alpha beta"}]
+    for b in batches:
+        index.append(docs_of(spark, b).withColumn("where", F.concat(F.lit("r/a "), "doc_id")), path_col="where")
+    index.delete(docs_of(spark, {1: "", 3: "", 77: ""}).select("doc_id"))
+    index.delete_paths(spark.createDataFrame([("r/a 4",), ("none",)], "path string"))
+    want = [i for i in range(40) if i % 3 and i not in (1, 4)] + [50]
+    assert [r["doc_id"] for r in index.search("alpha beta", 0).collect()] == want
+    plan = index.search("alpha beta", 0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedFilters: [Or(EqualTo(term,alpha),EqualTo(term,beta))]") >= 3 and plan.count("Exchange hashpartitioning") == 1
+    assert len(re.findall(r"PartitionFilters: \[[^\]]*bucket", plan)) >= 3
+    vocab = lambda x: {tuple(r) for r in x.vocabulary().collect()}
+    assert vocab(index) == {tuple(r) for r in inverted.vocabulary(index.tokens()).collect()}
+    assert sorted(r["doc_id"] for r in index.postings("alpha").collect()) == sorted({*range(40), 50} - {1, 3, 4})
+    assert index.by_key("8ed3f6ad685b959ead7022518e1af76cd816f8e8ec7ccdda1ed4018e8f2223f8").count() == index.postings("alpha").count()
+    found = index.find("alpha beta", docs_of(spark, {50: "beta alpha beta"}), adjacency=0).collect()
+    assert (found[-1]["path"], found[-1]["snippets"]) == ("r/a 50", ["beta <mark>alpha</mark> <mark>beta</mark>"])
+    before, old = vocab(index), index.search("alpha beta", 0)
+    index.compact()
+    assert vocab(index) == before and [r["doc_id"] for r in index.search("alpha beta", 0).collect()] == want
+    assert [r["doc_id"] for r in old.collect()] == want  # its files are still there
+    index.vacuum()
+    assert Index(spark, path).state == index.state and vocab(Index(spark, path)) == before
+
+
+def test_opening_checks_what_is_there(spark, tmp_path):
+    import shutil
+
+    with pytest.raises(FileNotFoundError):
+        Index(spark, f"file://{tmp_path}/none", create=False)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x").write_text("x")
+    with pytest.raises(FileNotFoundError):
+        Index(spark, f"file://{tmp_path}/other")
+    path = f"file://{tmp_path}/index"
+    one, two = Index(spark, path, buckets=2), Index(spark, path, buckets=2)
+    one.append(docs_of(spark, {1: "alpha"}))
+    with pytest.raises(RuntimeError):  # of two writers one fails, and nothing is lost
+        two.append(docs_of(spark, {2: "beta"}))
+    two = Index(spark, path)
+    two.append(docs_of(spark, {2: "beta"}))
+    # a crash before the manifest leaves the index as it was
+    (tmp_path / "index" / "manifests" / ".half.tmp").write_text("{")
+    assert sorted(r["term"] for r in Index(spark, path).vocabulary().collect()) == ["alpha", "beta"]
+    shutil.rmtree(tmp_path / "index" / "tokens" / two.state["segments"][0])
+    with pytest.raises(FileNotFoundError):
+        Index(spark, path)
+
+
+def test_a_batch_tried_again_is_indexed_once(spark, tmp_path):
+    source = tmp_path / "in"
+    docs_of(spark, {1: "alpha beta", 2: "gamma"}).write.parquet(str(source / "a"))
+    stream = lambda: spark.readStream.schema("doc_id long, text string").option("recursiveFileLookup", True).parquet(str(source))
+    index = Index(spark, f"file://{tmp_path}/index", buckets=4)
+    index_stream(stream(), index, str(tmp_path / "cp1")).awaitTermination()
+    # the stream's own record of the batch is lost: it comes again with the same number
+    again = Index(spark, f"file://{tmp_path}/index")
+    index_stream(stream(), again, str(tmp_path / "cp2")).awaitTermination()
+    assert len(again.state["segments"]) == 1 and {r["term"]: r["coll_freq"] for r in again.vocabulary().collect()} == {"alpha": 1, "beta": 1, "gamma": 1}
+
+
 def test_latest_search(spark):
     import threading
     import time
