@@ -15,8 +15,8 @@ from .graph import components
 from .words import Words, grams, mix, words
 
 _U = np.uint64
-#: Members of one centre that a task compares.
-STAR = 1000
+#: Members of one centre that a task compares; sets that each is compared with in the first round, the centre's among them, and at last.
+STAR, SETS, MOST_SETS = 1000, 8, 512
 
 
 def shingles(hashes: np.ndarray, n: int, stream: int = 0) -> np.ndarray:
@@ -91,21 +91,23 @@ def prefixes(items: np.ndarray, known: np.ndarray, centre: int, percent: int) ->
 
     In any one order of shingles, two sets that are alike enough share one among the first few of each: of
     a set of n, the first n - 2tn / (1 + t) + 1 suffice to meet larger ones, and n - tn + 1 to meet
-    smaller ones (t = percent / 100). The order here puts what the centre lacks (not ``known``) first: in a
-    family with much in common that is what few of its members share. Returns the former and the rest of the latter.
+    smaller ones (t = percent / 100). The order here goes by ``known``, in how many of the sets around the centre a
+    shingle is: in a family with much in common, what few of its members have comes first. Returns the
+    former and the rest of the latter.
     """
     n = len(items)
     few, most = n + 1 - -(-2 * percent * n // (100 + percent)), n + 1 - -(-percent * n // 100)
-    order = np.concatenate((items[~known], items[known]))[:most]
+    order = items[np.argsort(known, kind="stable")][:most]
     names = mix(order ^ mix(np.array([centre], np.int64).view(np.uint64), 1), 1).view(np.int64)
     return names[:few], names[few:]
 
 
-_TESTED = "c long, x long, both long, all_ long, near array<long>, far array<long>"
+_TESTED = "c long, x long, both long, all_ long, links array<long>, near array<long>, far array<long>"
 
 
 def _compare(n_words: int, percent: int):
-    """Rows sorted by (c, salt, x), the centre's own (x null) first: Jaccard counts of each member and its centre, and where it is ``first`` prefixes().
+    """Rows sorted by (c, salt, x), the sets around a centre (s, x null) first: each member's Jaccard counts with the
+    centre, which of the sets it links with, and, unless it is one of them, prefixes().
 
     Sets are compared by one hash of their shingles; what would be a link must be one by another, independent hash too.
     """
@@ -121,48 +123,59 @@ def _compare(n_words: int, percent: int):
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, sets, none = None, [], (np.zeros(0, np.int64),) * 2
+        centre, sets, none = None, {}, np.zeros(0, np.int64)
         for b in batches:
             out: list[tuple] = []
             key = list(zip(b.column("c").to_pylist(), b.column("salt").to_pylist(), strict=True))
-            member, first = b.column("x").to_pylist(), b.column("first").to_pylist()
+            member, own = b.column("x").to_pylist(), b.column("s").to_pylist()
             for chunk in words(b.column("text"), fold=True):
                 for i in range(len(chunk)):
                     k, x = key[chunk.row + i], member[chunk.row + i]
                     items = np.unique(shingles(chunk.of(i), n_words))
                     if k != centre:
-                        centre, sets = k, []
+                        centre, sets = k, {}
                     if not len(items):
                         continue
                     if x is None:
-                        sets.append((items, other(chunk, i)))
+                        sets.setdefault(own[chunk.row + i], []).append((items, other(chunk, i)))
                         continue
-                    known, best = np.zeros(len(items), bool), (0, 1)
-                    for own, own_other in sets:
-                        hit = shared(own, items)
-                        known |= hit
-                        both = int(hit.sum())
-                        if 100 * both >= percent * (len(own) + len(items) - both):
-                            both = min(both, int(shared(own_other, other(chunk, i)).sum()))
-                        best = max(best, (both, len(own) + len(items) - both), key=lambda v: v[0] / v[1])
-                    out.append((k[0], x, *best, *(prefixes(items, known, k[0], percent) if first[chunk.row + i] else none)))
-            c, x, both, all_, near, far = zip(*out, strict=True) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (c, x, both, all_)), lists(near), lists(far)], names=["c", "x", "both", "all_", "near", "far"])
+                    known, links, best = np.zeros(len(items), np.int16), [], (0, 1)
+                    for s, texts in sets.items():
+                        if s == x:
+                            continue
+                        seen = np.zeros(len(items), bool)
+                        for one, one_other in texts:
+                            hit = shared(one, items)
+                            seen |= hit
+                            both = int(hit.sum())
+                            if 100 * both >= percent * (len(one) + len(items) - both):
+                                both = min(both, int(shared(one_other, other(chunk, i)).sum()))
+                            every = len(one) + len(items) - both
+                            if 100 * both >= percent * every:
+                                links.append(s)
+                            if s == k[0]:
+                                best = max(best, (both, every), key=lambda v: v[0] / v[1])
+                        known += seen
+                    out.append((k[0], x, *best, np.array(links, np.int64), *((none, none) if x in sets else prefixes(items, known, k[0], percent))))
+            c, x, both, all_, links, near, far = zip(*out, strict=True) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (c, x, both, all_)), lists(links), lists(near), lists(far)], names=["c", "x", "both", "all_", "links", "near", "far"])
 
     return run
 
 
-def _verify(texts: DataFrame, pairs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """_TESTED: each of ``pairs`` (c, x, first) compared on full sets; of rows that share the id c the most alike counts, each of x is a row."""
+def _verify(texts: DataFrame, pairs: DataFrame, n_words: int, percent: int, sets: int) -> DataFrame:
+    """_TESTED: the members x of each centre c of ``pairs`` (c, x) compared, on full sets, with it and the smallest of each
+    of ``sets`` - 1 parts of them. Of rows that share the id c the most alike counts, each of x is a row."""
     n = partitions(texts.sparkSession)
-    sized = pairs.groupBy("c").agg(F.count(F.lit(1)).alias("w"))
+    around = pairs.groupBy("c", F.pmod(F.xxhash64("x"), F.lit(sets - 1)).alias("part")).agg(F.min("x").alias("s"), F.count(F.lit(1)).alias("w"))
+    sized = around.groupBy("c").agg(F.sum("w").alias("w"), F.concat(F.array("c"), F.collect_list("s")).alias("sets"))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(1 << 20)))
-    salts = sized.withColumn("salts", F.ceil(F.col("w") / STAR))
-    members = join_unique(salted, salts, ["c"], "w", pairs.count(), "inner").select("c", (F.col("salt") % F.col("salts")).alias("salt"), "x", "first")
-    own = salts.select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("x"), F.lit(False).alias("first"))
+    salts = materialize(sized.withColumn("salts", F.ceil(F.col("w") / STAR)))
+    members = join_unique(salted, salts.drop("sets"), ["c"], "w", pairs.count(), "inner").select("c", (F.col("salt") % F.col("salts")).alias("salt"), "x", F.lit(None).cast("long").alias("s"))
+    own = salts.select("c", "salts", F.explode("sets").alias("s")).select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("x"), "s")
     there = texts.select(F.col("doc_id").alias("_id"), "text")
-    rows = members.join(there.hint("merge"), F.col("x") == F.col("_id")).unionByName(own.join(there.hint("merge"), F.col("c") == F.col("_id")))
-    rows = rows.select("c", "salt", "x", "first", "text").repartition(n, "c", "salt").sortWithinPartitions("c", "salt", F.col("x").asc_nulls_first())
+    rows = members.unionByName(own).withColumn("_id", F.coalesce("x", "s")).join(there.hint("merge"), "_id")
+    rows = rows.select("c", "salt", "x", "s", "text").repartition(n, "c", "salt").sortWithinPartitions("c", "salt", F.col("x").asc_nulls_first())
     return rows.mapInArrow(_compare(n_words, percent), _TESTED)
 
 
@@ -171,15 +184,16 @@ def near_dedup(docs: DataFrame, percent: int = 85, n_words: int = 3, bands: int
 
     Texts with the same set of shingles are one class, whose smallest doc_id stands for it; only classes
     are compared. Sketches of ``bands`` * ``rows`` bins are banded. In every bucket with several
-    classes, the smallest is the centre and all others are compared with it, on full sets (later
-    rounds take four times as many further centres each, so that small groups end soon). Jaccard
-    distance is a metric: with c the centre, x linked to c and y not, x and y can't be linked if
+    classes, the smallest is the centre; all members of a centre are compared with it and a few of them (SETS, in later
+    rounds up to MOST_SETS, so that small groups end soon), on full sets.
+    Jaccard distance is a metric: with c the centre, x linked to c and y not, x and y can't be linked if
     d(c, y) > d(c, x) + (1 - percent / 100). So members linked to their centre are done unless some
-    unlinked one is that near. The others go on to the next round's buckets, by prefixes(): those that
-    can be linked with each other meet there, while others of a family with much in common part. A bucket
-    whose members are all of one component is done. Rounds end when no bucket has two members left, which
-    must come, as members' ids are above those of all their centres so far. So no link between members of a bucket goes
-    untested that could join components, and no bucket's pairs are all listed.
+    unlinked one is that near, and so are those that all others were compared with. The rest go on to the next
+    round's buckets, by prefixes(): those that can be linked with each other meet there, while others of a
+    family with much in common part. A bucket whose members are all of one component is done. Rounds end
+    when no bucket has two members left, which must come, as members' ids are above those of all their
+    centres so far. So no link between members of a bucket goes untested that could join components, and no
+    bucket's pairs are all listed.
     Two sets at the threshold share no bucket with probability (1 - 0.85^6)^32 < 3e-7.
 
     Nulls: a null text counts as empty. Documents without words have an empty set and link with nothing.
@@ -196,30 +210,29 @@ def near_dedup(docs: DataFrame, percent: int = 85, n_words: int = 3, bands: int
     total = classes.agg(F.sum("w")).first()[0] or 0
     heads = join_unique(usable, classes, key, "w", total, "inner").where("doc_id = x").select("x", F.col("bands").alias("near"), F.array().cast("array<long>").alias("far"))
     open_ = materialize(heads.distinct())
-    links, reach, named, centres = materialize(spark.createDataFrame([], "a long, b long")), 1 - percent / 100, None, 1
+    links, reach, named, sets = materialize(spark.createDataFrame([], "a long, b long")), 1 - percent / 100, None, SETS
     while True:
         flag = lambda c, near: F.transform(c, lambda v: F.struct(v.alias("bucket"), F.lit(near).alias("near")))
         placed = open_.select("x", F.explode(F.concat(flag("near", True), flag("far", False))).alias("b")).select("x", "b.*")
         tagged = placed.withColumn("to", F.col("x")) if named is None else placed.join(named, "x", "left").withColumn("to", F.coalesce("to", "x"))
-        buckets = materialize(_buckets(tagged, centres))
+        buckets = tagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("c"), F.max("near").alias("some"), (F.min("to") != F.max("to")).alias("apart"))
+        buckets = materialize(buckets.where("n > 1 AND apart AND some").select("bucket", "n", "c"))
         met = may_pass(placed.select("x", "bucket"), key_filter(buckets, "bucket"), "bucket")
-        seen = join_unique(met, buckets, ["bucket"], "n", buckets.agg(F.sum("n")).first()[0] or 0, "inner").withColumn("ours", F.array_contains("cs", F.col("x")))
-        seen = seen.select("x", "ours", F.explode("cs").alias("c"), (~F.col("ours") & (F.col("c") == F.array_min("cs"))).alias("first"))
-        pairs = materialize(seen.where((F.col("c") < F.col("x")) | (~F.col("ours") & (F.col("c") != F.col("x")))).groupBy("c", "x").agg(F.max("first").alias("first")))
+        pairs = join_unique(met, buckets, ["bucket"], "n", buckets.agg(F.sum("n")).first()[0] or 0, "inner").where("x != c")
+        pairs = materialize(pairs.select("c", "x").distinct())
         discard(buckets)
         if not pairs.limit(1).count():
             break
         ends = pairs.select(F.xxhash64("c").alias("k")).unionByName(pairs.select(F.xxhash64("x").alias("k")))
         wanted = may_pass(d.withColumn("_k", F.xxhash64("doc_id")), key_filter(ends, "k"), "_k").select("doc_id", "text")
-        tested = materialize(_verify(wanted, pairs, n_words, percent))
-        linked, dist = F.col("both") * 100 >= F.col("all_") * percent, 1 - F.col("both") / F.col("all_")
-        more = materialize(links.unionByName(tested.where(linked).select(F.col("c").alias("a"), F.col("x").alias("b"))).distinct())
-        firsts = tested.where(F.size("near") > 0)
-        near = firsts.groupBy("c").agg(F.min(F.when(~linked, dist)).alias("least"), F.count(F.lit(1)).alias("m")).where("least IS NOT NULL")
-        rest = join_unique(firsts, near, ["c"], "m", tested.count(), "inner").where(~linked | (F.col("least") <= dist + reach + 1e-9))
+        tested = materialize(_verify(wanted, pairs, n_words, percent, sets))
+        more = materialize(links.unionByName(tested.select(F.explode("links").alias("a"), F.col("x").alias("b"))).distinct())
+        linked, dist = F.array_contains("links", F.col("c")), 1 - F.col("both") / F.col("all_")
+        near = tested.groupBy("c").agg(F.min(F.when(~linked, dist)).alias("least"), F.count(F.lit(1)).alias("m")).where("least IS NOT NULL")
+        rest = join_unique(tested.where(F.size("near") > 0), near, ["c"], "m", tested.count(), "inner").where(~linked | (F.col("least") <= dist + reach + 1e-9))
         left = materialize(rest.select("x", "near", "far"))
         discard(links, open_, pairs, tested)
-        links, open_, centres = more, left, 4 * centres
+        links, open_, sets = more, left, min(MOST_SETS, 4 * sets)
         named = components(links).select(F.col("node").alias("x"), F.col("component").alias("to"))
     discard(open_, pairs)
     edges = links
@@ -231,11 +244,3 @@ def near_dedup(docs: DataFrame, percent: int = 85, n_words: int = 3, bands: int
     linkable = join_unique(usable.select("doc_id", "n_shingles", *key), named, key, "w", total, "left").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = sketched.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linkable.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _buckets(members: DataFrame, k: int) -> DataFrame:
-    """(bucket, n, cs): size and centres (the smallest of each of ``k`` parts) of what ``members`` (bucket, x, near, to) leave to do."""
-    part = F.pmod(F.xxhash64("x"), F.lit(k)) if k > 1 else F.lit(0)
-    some = members.groupBy("bucket", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("c"), F.max("near").alias("near"), F.min("to").alias("lo"), F.max("to").alias("hi"))
-    each = some.groupBy("bucket").agg(F.sum("n").alias("n"), F.collect_list("c").alias("cs"), F.max("near").alias("near"), (F.min("lo") != F.max("hi")).alias("apart"))
-    return each.where("n > 1 AND apart AND near").select("bucket", "n", "cs")
