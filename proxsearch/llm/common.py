@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch
+
 #: A key holding at least this share of all rows is hot; at most 1 / HOT_SHARE keys can be.
 HOT_SHARE = 1 / 1000
 
@@ -56,26 +53,8 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name in the folder that all executors share (spark.checkpoint.dir).
-
-    Only a local session, as in tests, may lack that setting; it then gets a folder of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _own_dir()
-    return f"{root.rstrip('/')}/proxsearch/{uuid.uuid4().hex}"
-
-
-_OWN: list[str] = []
-
-
-def _own_dir() -> str:
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="proxsearch-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return "file://" + _OWN[0]
+    """A new folder name in the folder that all executors share (spark.checkpoint.dir)."""
+    return scratch(spark)
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import by_place, materialize
 
-#: Most patterns (sets of sources that some document belongs to) that the driver plans for.
-MAX_PATTERNS = 100_000
+#: Most patterns (sets of sources that some document belongs to) that the driver plans for; of them, with others than single sources.
+MAX_PATTERNS, MAX_OVERLAPS = 2_000_000, 100_000
+#: With more patterns than this, sources on their own are left out of the flow, which gives them the same.
+FLOW_PATTERNS = 1000
 #: A document of at least this share of its pattern's words is chosen by itself; no pattern has more than 1 / LARGE.
 LARGE = 1 / 1000
 #: Bits of the seeded key that one step sorts documents by; rows of a pattern that are at last put in order by one task.
@@ -32,7 +34,8 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = (1, 2, 3),
     free = list(order)
     while free:
         rest = float(sum(sizes.values())) - sum(out.values())
-        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        all_ = sum(weight[x] for x in free)
+        share = {s: rest * weight[s] / all_ for s in free}
         above = [s for s in free if share[s] > most * sizes[s]]
         if not above:
             return out | share
@@ -80,7 +83,15 @@ def route(patterns: dict[tuple, int], quota: dict[str | None, float], repeat: in
     The k-th use of a pattern's words costs k - 1 a word, which is convex, so words of overlapping sources
     are repeated only where fresh ones run out. No pattern gives more than ``repeat`` times its words.
     """
-    names, kinds = list(quota), list(patterns)
+    uses: dict[str | None, int] = {}
+    for p in patterns:
+        for s in p:
+            uses[s] = uses.get(s, 0) + 1
+    out: dict[tuple, dict] = {}
+    if len(patterns) > FLOW_PATTERNS:
+        out = {p: {p[0]: min(round(quota[p[0]]), repeat * n)} for p, n in patterns.items() if len(p) == 1 and uses[p[0]] == 1}
+    kinds = [p for p in patterns if p not in out]
+    names = list(dict.fromkeys(s for p in kinds for s in p))
     at = {s: i for i, s in enumerate(names)}
     source, sink, n = 0, 1, 2 + len(names) + len(kinds)
     edges, inner = [], []
@@ -91,7 +102,7 @@ def route(patterns: dict[tuple, int], quota: dict[str | None, float], repeat: in
             edges.append((2 + i, 2 + len(kinds) + at[s], patterns[p] * repeat, 0))
     edges += [(2 + len(kinds) + i, sink, round(quota[s]), 0) for i, s in enumerate(names)]
     flow = min_cost_flow(n, edges, source, sink)
-    out: dict[tuple, dict] = {p: {} for p in kinds}
+    out |= {p: {} for p in kinds}
     for p, s, e in inner:
         out[p][s] = flow[e]
     return out
@@ -134,6 +145,8 @@ def _plan(rows: DataFrame, weights: Sequence[float], repeat: int) -> DataFrame:
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
     patterns = {tuple(json.loads(r["pattern"])): r["words"] for r in sums}
+    if sum(len(p) > 1 for p in patterns) > MAX_OVERLAPS:
+        raise ValueError(f"more than {MAX_OVERLAPS} sets of several sources")
     named = {tuple(json.loads(r["pattern"])): r["pattern"] for r in sums}
     sizes: dict[str | None, int] = {}
     for p, n in patterns.items():
@@ -197,7 +210,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeat: int = 3,
     """One row per row of ``docs``: doc_id, pattern, size, source_size, target, taken.
 
     ``source_col`` is a source, or an array of them where sources overlap; documents are summed by pattern,
-    the set of their sources, and only these sums reach the driver (at most MAX_PATTERNS). A flow routes
+    the set of their sources, and only these sums reach the driver (at most MAX_PATTERNS, MAX_OVERLAPS of several sources; beyond that an error). A flow routes
     words from patterns to the sources' targets; a pattern that gives k times its words and a rest takes
     every document k times, and some once more, chosen by a hash of ``seed``, doc_id and text until the rest is
     met: large ones first, one by one; then the others up to a bucket of the hash found from sums by

@@ -85,6 +85,19 @@ def test_route_equals_trying_all():
         assert (-sum(total.values()), sum(max(0, total[p] - patterns[p]) for p in kinds)) == (best or (0, 0))
 
 
+def test_sources_on_their_own_get_what_the_flow_gives(monkeypatch):
+    rng = random.Random(7)
+    patterns = {(f"s{i}",): rng.randrange(0, 50) for i in range(30)} | {("a", "b"): 40, ("a",): 20, ("s1", "s2"): 9}
+    quota = targets({s: sum(n for p, n in patterns.items() if s in p) for p in patterns for s in p})
+    want = route(patterns, quota)
+    monkeypatch.setattr(mixing, "FLOW_PATTERNS", 0)
+    got = route(patterns, quota)
+    assert {p: sum(v.values()) for p, v in got.items()} == {p: sum(v.values()) for p, v in want.items()}
+    assert all(got[p] == want[p] for p in patterns if len(p) == 1 and p[0] not in ("a", "s1", "s2"))
+    many = {(f"h{i}",): 1 + i % 7 for i in range(50_000)}
+    assert len(route(many, targets({p[0]: n for p, n in many.items()}))) == len(many)
+
+
 def plain(rows, ordered):
     """What _plan takes of ``rows`` (pattern, size, u, v, r), one pattern and row at a time: {r: times}."""
     words = {p: sum(x["size"] for x in rows if x["pattern"] == p) for p in {x["pattern"] for x in rows}}
