@@ -17,6 +17,8 @@ from .words import Words, grams, mix, words
 _U = np.uint64
 #: Members of one centre that a task compares; sets that each is compared with in the first round, the centre's among them, and at last.
 STAR, SETS, MOST_SETS = 1000, 8, 512
+#: Shingles of all these sets that a task holds (64 MB); of long texts fewer sets fit, and the rest are members like others.
+SET_ITEMS = 1 << 22
 
 
 def shingles(hashes: np.ndarray, n: int, stream: int = 0) -> np.ndarray:
@@ -106,7 +108,7 @@ _TESTED = "c long, x long, both long, all_ long, links array<long>, near array<l
 
 
 def _compare(n_words: int, percent: int):
-    """Rows sorted by (c, salt, x), the sets around a centre (s, x null) first: each member's Jaccard counts with the
+    """Rows sorted by (c, salt, x, s), the sets around a centre (s, x null) first, its own before the others: each member's Jaccard counts with the
     centre, which of the sets it links with, and, unless it is one of them, prefixes().
 
     Sets are compared by one hash of their shingles; what would be a link must be one by another, independent hash too.
@@ -123,7 +125,7 @@ def _compare(n_words: int, percent: int):
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, sets, none = None, {}, np.zeros(0, np.int64)
+        centre, sets, left_out, held, none = None, {}, set(), 0, np.zeros(0, np.int64)
         for b in batches:
             out: list[tuple] = []
             key = list(zip(b.column("c").to_pylist(), b.column("salt").to_pylist(), strict=True))
@@ -133,11 +135,17 @@ def _compare(n_words: int, percent: int):
                     k, x = key[chunk.row + i], member[chunk.row + i]
                     items = np.unique(shingles(chunk.of(i), n_words))
                     if k != centre:
-                        centre, sets = k, {}
+                        centre, sets, left_out, held = k, {}, set(), 0
                     if not len(items):
                         continue
                     if x is None:
-                        sets.setdefault(own[chunk.row + i], []).append((items, other(chunk, i)))
+                        s = own[chunk.row + i]
+                        held += len(items)
+                        if s != k[0] and (held > SET_ITEMS or s in left_out):
+                            left_out.add(s)
+                            sets.pop(s, None)
+                        else:
+                            sets.setdefault(s, []).append((items, other(chunk, i)))
                         continue
                     known, links, best = np.zeros(len(items), np.int16), [], (0, 1)
                     for s, texts in sets.items():
@@ -175,7 +183,7 @@ def _verify(texts: DataFrame, pairs: DataFrame, n_words: int, percent: int, sets
     own = salts.select("c", "salts", F.explode("sets").alias("s")).select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("x"), "s")
     there = texts.select(F.col("doc_id").alias("_id"), "text")
     rows = members.unionByName(own).withColumn("_id", F.coalesce("x", "s")).join(there.hint("merge"), "_id")
-    rows = rows.select("c", "salt", "x", "s", "text").repartition(n, "c", "salt").sortWithinPartitions("c", "salt", F.col("x").asc_nulls_first())
+    rows = rows.select("c", "salt", "x", "s", "text").repartition(n, "c", "salt").sortWithinPartitions("c", "salt", F.col("x").asc_nulls_first(), "s", F.xxhash64("text"))
     return rows.mapInArrow(_compare(n_words, percent), _TESTED)
 
 

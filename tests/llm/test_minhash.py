@@ -61,6 +61,25 @@ def brute(pairs, percent=85):
     return sorted(((d, len(s), label[d], d == label[d] if d is not None else True) for d, s in zip(ids, sets, strict=True)), key=str)
 
 
+def test_sets_that_do_not_fit_are_members(monkeypatch):
+    """With room for few sets a group's members still part or link as with room for all."""
+    texts = {i: " ".join(f"w{k}" if k % 9 or k // 9 % 7 != i % 7 else f"x{i}y{k}" for k in range(120)) for i in range(1, 9)}
+    rows = [(1, s, texts[s], None) for s in (1, 2, 3, 4)] + [(1, None, texts[x], x) for x in range(2, 9)]
+    batch = pa.RecordBatch.from_pydict({"c": pa.array([1] * len(rows), pa.int64()), "salt": pa.array([0] * len(rows), pa.int64()), "x": pa.array([x for *_, x in rows], pa.int64()), "s": pa.array([s for _, s, *_ in rows], pa.int64()), "text": [t for _, _, t, _ in rows]})
+    for room, held in ((1 << 22, {1, 2, 3, 4}), (300, {1, 2}), (1, {1})):
+        monkeypatch.setattr(minhash, "SET_ITEMS", room)
+        got = [r for b in minhash._compare(3, 85)(iter([batch])) for r in b.to_pylist()]
+        assert {r["x"] for r in got} == set(range(2, 9)) and {r["x"] for r in got if not r["near"]} == held - {1}
+        for r in got:
+            links = {s for s in held - {r["x"]} if jaccard(texts[s], texts[r["x"]]) >= 0.85}
+            assert set(r["links"]) == links
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
 def test_near_dedup(spark):
     rng = random.Random(5)
     base = [[f"w{rng.randrange(5000)}" for _ in range(80)] for _ in range(6)]
