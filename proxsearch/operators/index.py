@@ -206,10 +206,10 @@ class Index:
     def expand(self, query: Query) -> DataFrame:
         return expansion(self.vocabulary(), query)
 
-    def search(self, text: str, adjacency: int = 2, budget: str = "scaled", keep_unmatched: bool = False, limit: int | None = None) -> DataFrame:
-        """(doc_id, matches), the first ``limit`` if given; literal terms prune buckets and reach the scans as filters."""
+    def search(self, text: str, adjacency: int = 2, budget: str = "scaled", keep_unmatched: bool = False, limit: int | None = None, ordered: bool = True) -> DataFrame:
+        """(doc_id, matches) in ascending order of doc_id, the first ``limit`` if given; not ``ordered``, rows come as they are found; literal terms prune buckets and reach the scans as filters."""
         query = Query(text, adjacency, budget, keep_unmatched, fold=self.state["case"] == "fold")
-        found = search(self.tokens, query, self.state["buckets"])
+        found = search(self.tokens, query, self.state["buckets"], ordered)
         return found if limit is None else found.limit(limit)
 
     def snippets(self, results: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100) -> DataFrame:

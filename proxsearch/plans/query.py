@@ -74,14 +74,15 @@ def grouped(index: DataFrame | Callable[[Column], DataFrame], query: Query, buck
     return rows
 
 
-def search(index: DataFrame | Callable[[Column], DataFrame], query: Query, buckets: int | None = None) -> DataFrame:
-    """(doc_id, matches) of the documents that match, in ascending order of doc_id.
+def search(index: DataFrame | Callable[[Column], DataFrame], query: Query, buckets: int | None = None, ordered: bool = True) -> DataFrame:
+    """(doc_id, matches) of the documents that match, in ascending order of doc_id; not ``ordered``, as they are found, without a sort.
 
     A document with all terms but no match is left out unless keep_unmatched. An empty query finds nothing.
     """
     if not query.terms:
         return SparkSession.active().createDataFrame([], RESULT)
-    return chain_rows(grouped(index, query, buckets), len(query.terms), query.adjacency, query.keep_unmatched).orderBy("doc_id")
+    found = chain_rows(grouped(index, query, buckets), len(query.terms), query.adjacency, query.keep_unmatched)
+    return found.orderBy("doc_id") if ordered else found
 
 
 def rarest_first(index: DataFrame, vocab: DataFrame, query: Query) -> DataFrame:

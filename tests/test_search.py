@@ -216,6 +216,8 @@ def test_several_segments(spark, tmp_path):
     index.delete_paths(spark.createDataFrame([("r/a 4",), ("none",)], "path string"))
     want = [i for i in range(40) if i % 3 and i not in (1, 4)] + [50]
     assert [r["doc_id"] for r in index.search("alpha beta", 0).collect()] == want
+    free = index.search("alpha beta", 0, ordered=False)
+    assert sorted(r["doc_id"] for r in free.collect()) == want and "rangepartitioning" not in free._jdf.queryExecution().executedPlan().toString()
     plan = index.search("alpha beta", 0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("PushedFilters: [Or(EqualTo(term,alpha),EqualTo(term,beta))]") >= 3 and plan.count("Exchange hashpartitioning") == 1
     assert len(re.findall(r"PartitionFilters: \[[^\]]*bucket", plan)) >= 3
