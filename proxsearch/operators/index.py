@@ -99,14 +99,19 @@ class Index:
         both.write.option("compression", "zstd").parquet(f"{self.path}/vocabulary/{name}")
         return [*self.state["vocabulary"], name]
 
-    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, **also: object) -> str:
+    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, tasks: int | None = None, **also: object) -> str:
         """Indexes ``docs`` as a new segment and returns its name; ``path_col``: where the document is from, for ``find``.
 
-        ``also`` enters the manifest in the same step.
+        ``tasks``: texts are spread over so many first, for sources that come in fewer parts than there are cores. ``also`` enters the manifest in the same step.
         """
         name = uuid.uuid4().hex
         some = docs.where(F.col(id_col).isNotNull() & ~is_blank(F.col(text_col)))
-        rows = self._write_tokens(build(some, id_col, text_col, self.state["tag_mode"], self.state["case"]), name)
+        if tasks:
+            some = some.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition(tasks)
+            id_col_, text_col_ = "doc_id", "text"
+        else:
+            id_col_, text_col_ = id_col, text_col
+        rows = self._write_tokens(build(some, id_col_, text_col_, self.state["tag_mode"], self.state["case"]), name)
         path = (F.col(path_col) if path_col else F.lit(None)).cast("string").alias("path")
         docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), path).dropDuplicates(["doc_id"]).write.option("compression", "zstd").parquet(f"{self.path}/documents/{name}")
         new = {"segments": [*self.state["segments"], name]}

@@ -211,7 +211,7 @@ def test_several_segments(spark, tmp_path):
     index = Index(spark, path, buckets=8, case="fold")
     batches = [{i: f"alpha beta w{'abcdefgh'[i % 8]}" for i in range(40)}, {i: "alpha xx beta" for i in range(0, 40, 3)}, {50: "beta alpha beta"}]
     for b in batches:
-        index.append(docs_of(spark, b).withColumn("where", F.concat(F.lit("r/a "), "doc_id")), path_col="where")
+        index.append(docs_of(spark, b).withColumn("where", F.concat(F.lit("r/a "), "doc_id")), path_col="where", tasks=3 if len(b) < 40 else None)
     index.delete(docs_of(spark, {1: "", 3: "", 77: ""}).select("doc_id"))
     index.delete_paths(spark.createDataFrame([("r/a 4",), ("none",)], "path string"))
     want = [i for i in range(40) if i % 3 and i not in (1, 4)] + [50]
