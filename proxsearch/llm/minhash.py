@@ -16,7 +16,7 @@ from .words import Words, grams, mix, words
 
 _U = np.uint64
 #: Members of one centre that a task compares; sets that each is compared with in the first round, the centre's among them, and at last.
-STAR, SETS, MOST_SETS = 1000, 8, 512
+STAR, SETS, MOST_SETS = 1000, 512, 2048
 #: Shingles of all these sets that a task holds (64 MB); of long texts fewer sets fit, and the rest are members like others.
 SET_ITEMS = 1 << 22
 
@@ -104,12 +104,54 @@ def prefixes(items: np.ndarray, known: np.ndarray, centre: int, percent: int) ->
     return names[:few], names[few:]
 
 
-_TESTED = "c long, x long, both long, all_ long, links array<long>, near array<long>, far array<long>"
+class Around:
+    """The sets around a centre as inverted lists: of every shingle, the texts that have it. ``texts``: (set, shingles), those of a set together.
+
+    A member's shingles are looked up once, whatever the number of sets.
+    """
+
+    #: Entries of the lists read at once (some MB), however long the texts are.
+    HITS = 1 << 18
+
+    def __init__(self, texts: list[tuple[int, np.ndarray]]):
+        self.of = np.array([s for s, _ in texts], np.int64)
+        self.size = np.array([len(items) for _, items in texts], np.int64)
+        items = np.concatenate([items for _, items in texts])
+        order = np.argsort(items, kind="stable")
+        items = items[order]
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), self.size)[order]
+        del order
+        new = np.concatenate(([True], items[1:] != items[:-1]))
+        first = np.flatnonzero(new)
+        self.items, self.ends = items[first], np.append(first, len(items))
+        # texts of one set count as one
+        owner = self.of[self.text]
+        new[1:] |= owner[1:] != owner[:-1]
+        self.sets = np.add.reduceat(new, first, dtype=np.int64)
+
+    def shared(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many of ``items`` each text has; in how many sets each item is."""
+        at = np.minimum(np.searchsorted(self.items, items), len(self.items) - 1)
+        there = self.items[at] == items
+        known = np.where(there, self.sets[at], 0)
+        at = at[there]
+        first, n = self.ends[at], self.ends[at + 1] - self.ends[at]
+        total, both, i = np.cumsum(n), np.zeros(len(self.of), np.int64), 0
+        while i < len(at):
+            done = int(total[i - 1]) if i else 0
+            to = max(i + 1, int(np.searchsorted(total, done + self.HITS, "right")))
+            spots = np.repeat(first[i:to] - (total[i:to] - n[i:to]), n[i:to]) + np.arange(done, total[to - 1])
+            both += np.bincount(self.text[spots], minlength=len(both))
+            i = to
+        return both, known
+
+
+_TESTED = "c long, x long, both long, all_ long, links array<long>, joins array<long>, near array<long>, far array<long>"
 
 
 def _compare(n_words: int, percent: int):
     """Rows sorted by (c, salt, x, s), the sets around a centre (s, x null) first, its own before the others: each member's Jaccard counts with the
-    centre, which of the sets it links with, and, unless it is one of them, prefixes().
+    centre, which of the sets it links with, as many of these links as make the same components, and, unless it is one of the sets, prefixes().
 
     Sets are compared by one hash of their shingles; what would be a link must be one by another, independent hash too.
     """
@@ -117,15 +159,12 @@ def _compare(n_words: int, percent: int):
     def other(chunk: Words, i: int) -> np.ndarray:
         return np.unique(shingles(chunk.second[chunk.first[i] : chunk.first[i + 1]], n_words, 1))
 
-    def shared(own: np.ndarray, items: np.ndarray) -> np.ndarray:
-        return own[np.minimum(np.searchsorted(own, items), len(own) - 1)] == items
-
     def lists(parts: list[np.ndarray]) -> pa.Array:
         ends = np.cumsum([0, *map(len, parts)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, sets, left_out, held, none = None, {}, set(), 0, np.zeros(0, np.int64)
+        centre, texts, left_out, held, around, none = None, [], set(), 0, None, np.zeros(0, np.int64)
         for b in batches:
             out: list[tuple] = []
             key = list(zip(b.column("c").to_pylist(), b.column("salt").to_pylist(), strict=True))
@@ -135,7 +174,7 @@ def _compare(n_words: int, percent: int):
                     k, x = key[chunk.row + i], member[chunk.row + i]
                     items = np.unique(shingles(chunk.of(i), n_words))
                     if k != centre:
-                        centre, sets, left_out, held = k, {}, set(), 0
+                        centre, texts, left_out, held, around = k, [], set(), 0, None
                     if not len(items):
                         continue
                     if x is None:
@@ -143,30 +182,33 @@ def _compare(n_words: int, percent: int):
                         held += len(items)
                         if s != k[0] and (held > SET_ITEMS or s in left_out):
                             left_out.add(s)
-                            sets.pop(s, None)
                         else:
-                            sets.setdefault(s, []).append((items, other(chunk, i)))
+                            texts.append((s, items, other(chunk, i)))
                         continue
-                    known, links, best = np.zeros(len(items), np.int16), [], (0, 1)
-                    for s, texts in sets.items():
-                        if s == x:
-                            continue
-                        seen = np.zeros(len(items), bool)
-                        for one, one_other in texts:
-                            hit = shared(one, items)
-                            seen |= hit
-                            both = int(hit.sum())
-                            if 100 * both >= percent * (len(one) + len(items) - both):
-                                both = min(both, int(shared(one_other, other(chunk, i)).sum()))
-                            every = len(one) + len(items) - both
-                            if 100 * both >= percent * every:
-                                links.append(s)
-                            if s == k[0]:
-                                best = max(best, (both, every), key=lambda v: v[0] / v[1])
-                        known += seen
-                    out.append((k[0], x, *best, np.array(links, np.int64), *((none, none) if x in sets else prefixes(items, known, k[0], percent))))
-            c, x, both, all_, links, near, far = zip(*out, strict=True) if out else [()] * 7
-            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (c, x, both, all_)), lists(links), lists(near), lists(far)], names=["c", "x", "both", "all_", "links", "near", "far"])
+                    if around is None:
+                        texts = [t for t in texts if t[0] not in left_out]
+                        around = [Around([(s, one[j]) for s, *one in texts]) for j in (0, 1)] if texts else []
+                        # sets already joined by members have the same root
+                        root, texts = {s: s for s, *_ in texts}, []
+                    links, joins, best, known = none, none, (0, 1), np.zeros(len(items), np.int64)
+                    if around:
+                        of = around[0].of
+                        both, known = around[0].shared(items)
+                        every = around[0].size + len(items) - both
+                        alike = np.flatnonzero((100 * both >= percent * every) & (of != x))
+                        if len(alike):
+                            both[alike] = np.minimum(both, around[1].shared(other(chunk, i))[0])[alike]
+                            every = around[0].size + len(items) - both
+                            links = np.unique(of[alike[100 * both[alike] >= percent * every[alike]]])
+                            joins = np.array(list({root[s]: s for s in links.tolist()}.values()), np.int64)
+                            if len(joins) > 1:
+                                met = {root[s] for s in joins.tolist()}
+                                root = {s: min(met) if r in met else r for s, r in root.items()}
+                        for j in np.flatnonzero(of == k[0]).tolist():
+                            best = max(best, (int(both[j]), int(every[j])), key=lambda v: v[0] / v[1])
+                    out.append((k[0], x, *best, links, joins, *((none, none) if around and x in root else prefixes(items, known, k[0], percent))))
+            c, x, both, all_, links, joins, near, far = zip(*out, strict=True) if out else [()] * 8
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (c, x, both, all_)), *(lists(v) for v in (links, joins, near, far))], names=["c", "x", "both", "all_", "links", "joins", "near", "far"])
 
     return run
 
@@ -175,8 +217,10 @@ def _verify(texts: DataFrame, pairs: DataFrame, n_words: int, percent: int, sets
     """_TESTED: the members x of each centre c of ``pairs`` (c, x) compared, on full sets, with it and the smallest of each
     of ``sets`` - 1 parts of them. Of rows that share the id c the most alike counts, each of x is a row."""
     n = partitions(texts.sparkSession)
-    around = pairs.groupBy("c", F.pmod(F.xxhash64("x"), F.lit(sets - 1)).alias("part")).agg(F.min("x").alias("s"), F.count(F.lit(1)).alias("w"))
-    sized = around.groupBy("c").agg(F.sum("w").alias("w"), F.concat(F.array("c"), F.collect_list("s")).alias("sets"))
+    # four times as many parts as wanted: of a group that isn't larger than ``sets`` nearly all are taken
+    around = pairs.groupBy("c", F.pmod(F.xxhash64("x"), F.lit(4 * sets)).alias("part")).agg(F.min("x").alias("s"), F.count(F.lit(1)).alias("w"))
+    taken = F.slice(F.array_sort(F.collect_list(F.struct("part", "s"))), 1, sets - 1)["s"]
+    sized = around.groupBy("c").agg(F.sum("w").alias("w"), F.concat(F.array("c"), taken).alias("sets"))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(1 << 20)))
     salts = materialize(sized.withColumn("salts", F.ceil(F.col("w") / STAR)))
     members = join_unique(salted, salts.drop("sets"), ["c"], "w", pairs.count(), "inner").select("c", (F.col("salt") % F.col("salts")).alias("salt"), "x", F.lit(None).cast("long").alias("s"))
@@ -192,8 +236,8 @@ def near_dedup(docs: DataFrame, percent: int = 85, n_words: int = 3, bands: int
 
     Texts with the same set of shingles are one class, whose smallest doc_id stands for it; only classes
     are compared. Sketches of ``bands`` * ``rows`` bins are banded. In every bucket with several
-    classes, the smallest is the centre; all members of a centre are compared with it and a few of them (SETS, in later
-    rounds up to MOST_SETS, so that small groups end soon), on full sets.
+    classes, the smallest is the centre; all members of a centre are compared with it and some of them (SETS, in later
+    rounds up to MOST_SETS, so that most groups end in the first), on full sets, by inverted lists.
     Jaccard distance is a metric: with c the centre, x linked to c and y not, x and y can't be linked if
     d(c, y) > d(c, x) + (1 - percent / 100). So members linked to their centre are done unless some
     unlinked one is that near, and so are those that all others were compared with. The rest go on to the next
@@ -218,7 +262,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, n_words: int = 3, bands: int
     total = classes.agg(F.sum("w")).first()[0] or 0
     heads = join_unique(usable, classes, key, "w", total, "inner").where("doc_id = x").select("x", F.col("bands").alias("near"), F.array().cast("array<long>").alias("far"))
     open_ = materialize(heads.distinct())
-    links, reach, named, sets = materialize(spark.createDataFrame([], "a long, b long")), 1 - percent / 100, None, SETS
+    links, reach, named, sets, here = materialize(spark.createDataFrame([], "a long, b long")), 1 - percent / 100, None, SETS, d
     while True:
         flag = lambda c, near: F.transform(c, lambda v: F.struct(v.alias("bucket"), F.lit(near).alias("near")))
         placed = open_.select("x", F.explode(F.concat(flag("near", True), flag("far", False))).alias("b")).select("x", "b.*")
@@ -232,17 +276,18 @@ def near_dedup(docs: DataFrame, percent: int = 85, n_words: int = 3, bands: int
         if not pairs.limit(1).count():
             break
         ends = pairs.select(F.xxhash64("c").alias("k")).unionByName(pairs.select(F.xxhash64("x").alias("k")))
-        wanted = may_pass(d.withColumn("_k", F.xxhash64("doc_id")), key_filter(ends, "k"), "_k").select("doc_id", "text")
-        tested = materialize(_verify(wanted, pairs, n_words, percent, sets))
-        more = materialize(links.unionByName(tested.select(F.explode("links").alias("a"), F.col("x").alias("b"))).distinct())
-        linked, dist = F.array_contains("links", F.col("c")), 1 - F.col("both") / F.col("all_")
+        # members of later rounds are among this one's, so that only these texts are read again
+        wanted = materialize(may_pass(here.withColumn("_k", F.xxhash64("doc_id")), key_filter(ends, "k"), "_k").select("doc_id", "text"))
+        tested = materialize(_verify(wanted, pairs, n_words, percent, sets).withColumn("linked", F.array_contains("links", F.col("c"))).drop("links"))
+        more = materialize(links.unionByName(tested.select(F.explode("joins").alias("a"), F.col("x").alias("b"))).distinct())
+        linked, dist = F.col("linked"), 1 - F.col("both") / F.col("all_")
         near = tested.groupBy("c").agg(F.min(F.when(~linked, dist)).alias("least"), F.count(F.lit(1)).alias("m")).where("least IS NOT NULL")
         rest = join_unique(tested.where(F.size("near") > 0), near, ["c"], "m", tested.count(), "inner").where(~linked | (F.col("least") <= dist + reach + 1e-9))
         left = materialize(rest.select("x", "near", "far"))
-        discard(links, open_, pairs, tested)
-        links, open_, sets = more, left, min(MOST_SETS, 4 * sets)
+        discard(links, open_, pairs, tested, here)
+        here, links, open_, sets = wanted, more, left, min(MOST_SETS, 4 * sets)
         named = components(links).select(F.col("node").alias("x"), F.col("component").alias("to"))
-    discard(open_, pairs)
+    discard(open_, pairs, here)
     edges = links
     twice = usable.groupBy("doc_id").agg((F.min("s1") != F.max("s1")).alias("several")).where("several").select("doc_id")
     same_id = join_unique(usable.join(twice, "doc_id", "left_semi").select("doc_id", *key), classes, key, "w", total, "inner").where("doc_id != x")

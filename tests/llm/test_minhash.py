@@ -75,6 +75,39 @@ def test_sets_that_do_not_fit_are_members(monkeypatch):
             assert set(r["links"]) == links
 
 
+@pytest.mark.parametrize("hits", [1 << 18, 50])
+def test_inverted_lists_count_as_set_by_set(monkeypatch, hits):
+    monkeypatch.setattr(minhash.Around, "HITS", hits)
+    rng = np.random.default_rng(8)
+    some = lambda: np.unique(rng.integers(0, 400, int(rng.integers(1, 200)), dtype=np.uint64))
+    texts = [(s, some()) for s in sorted(rng.integers(0, 25, 40).tolist())]
+    around = minhash.Around(texts)
+    for _ in range(20):
+        items = some()
+        both, known = around.shared(items)
+        assert both.tolist() == [len(np.intersect1d(one, items)) for _, one in texts]
+        assert known.tolist() == [len({s for s, one in texts if v in one}) for v in items]
+
+
+def test_joins_make_the_components_of_links_and_are_few():
+    texts = {i: " ".join(f"w{k}" if k != i else f"x{i % 50}" for k in range(100 + 500 * (i % 2))) for i in range(100)}
+    rows = [(s, None) for s in range(60)] + [(None, x) for x in range(1, 100)]
+    batch = pa.RecordBatch.from_pydict({"c": pa.array([0] * len(rows), pa.int64()), "salt": pa.array([0] * len(rows), pa.int64()), "x": pa.array([x for _, x in rows], pa.int64()), "s": pa.array([s for s, _ in rows], pa.int64()), "text": [texts[s if x is None else x] for s, x in rows]})
+    got = [r for b in minhash._compare(3, 85)(iter([batch])) for r in b.to_pylist()]
+
+    def parts(name):
+        label = {x: x for x in texts}
+        for r in got:
+            for s in r[name]:
+                a, b = label[s], label[r["x"]]
+                label = {x: min(a, b) if v in (a, b) else v for x, v in label.items()}
+        return label
+
+    assert parts("joins") == parts("links") == {x: x % 2 for x in texts}
+    assert all(set(r["joins"]) <= set(r["links"]) for r in got)
+    assert sum(len(r["links"]) for r in got) > 2500 > 200 > sum(len(r["joins"]) for r in got)
+
+
 def jaccard(a, b):
     a, b = ({tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in (a, b))
     return len(a & b) / len(a | b)
@@ -122,6 +155,15 @@ def test_a_template_is_not_compared_pair_by_pair(spark, monkeypatch, n):
     assert sum(tested) < 0.1 * n * (n - 1) / 2, tested
 
 
+def test_a_group_of_hundreds_is_done_in_one_round(spark, monkeypatch):
+    texts, rounds, verify = template(random.Random(3), 300), [], minhash._verify
+    # members that link in the end: one own word in the middle of another's text
+    texts += [" ".join(w if j != 50 else f"z{i}" for j, w in enumerate(t.split())) for i, t in enumerate(texts[:20])]
+    monkeypatch.setattr(minhash, "_verify", lambda *a: rounds.append(a[-1]) or verify(*a))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: i if i < 300 else i - 300 for i in range(320)} and len(rounds) <= 2, rounds
+
+
 def test_prefixes_meet():
     rng = np.random.default_rng(4)
     for _ in range(300):
