@@ -2,12 +2,13 @@ import random
 from collections import Counter
 
 import corpus_pipeline as cp
+import pytest
 from proxsearch.llm.minhash import near_dedup
 from proxsearch.llm.mixing import mix
 from proxsearch.llm.quality import score_quality
 
 from .fixtures import AWKWARD, docs_of
-from .test_minhash import brute
+from .test_minhash import brute, template
 from .test_tokens import FILES, expected
 
 
@@ -56,6 +57,17 @@ def test_dedup_stages_go_by_id_and_text(spark, tmp_path):
     assert kept_rows(near) == sorted((w for w in want if w != (7, d + " more")), key=str)
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_near_parts_families_of_hundreds(spark, repeated):
+    """Whether ids are unique or not; half of the family goes, being copies with one word changed."""
+    texts = template(random.Random(3), 150)
+    copies = [" ".join(w if j != 50 else f"z{i}" for j, w in enumerate(t.split())) for i, t in enumerate(texts)]
+    rows = [*enumerate(texts), *((i if repeated and i == 149 else 150 + i, t) for i, t in enumerate(copies))]
+    got = kept_rows(cp.near(spark, docs_of(spark, rows), ""))
+    one_of = {t: i for i, t in enumerate(texts)} | {t: i for i, t in enumerate(copies)}
+    assert sorted(one_of[t] for _, t in got) == list(range(150)) and [r for r in got if r[0] != 149] == sorted(((i, t) for i, t in enumerate(texts) if i != 149), key=str)
+
+
 def test_no_document_is_lost(spark):
     rows = [(7, "A"), (7, "B"), (9, "A"), (None, "N1"), (None, "N2"), (20, "N1")]
     exact = cp.exact(spark, docs_of(spark, rows), "")
