@@ -17,6 +17,8 @@ from .words import Words, grams, mix, words
 _U = np.uint64
 #: Members of one centre that a task compares; sets that each is compared with in the first round, the centre's among them, and at last.
 STAR, SETS, MOST_SETS = 1000, 512, 2048
+#: Members, of all centres, for which a round takes one more task, up to the session's number.
+TASK = 64
 #: Shingles of all these sets that a task holds (64 MB); of long texts fewer sets fit, and the rest are members like others.
 SET_ITEMS = 1 << 22
 
@@ -105,9 +107,12 @@ def prefixes(items: np.ndarray, known: np.ndarray, centre: int, percent: int) ->
 
 
 class Around:
-    """The sets around a centre as inverted lists: of every shingle, the texts that have it. ``texts``: (set, shingles), those of a set together.
+    """The sets around a centre as inverted lists of differences. ``texts``: (set, shingles, ascending), those of a set together.
 
-    A member's shingles are looked up once, whatever the number of sets.
+    Of the texts the one nearest to all is the reference, and a text is what it has beside it and what it lacks
+    of it: its differences. Two texts differ in just those differences that only one of them has. Near copies have few, most
+    of them rare, so a member is held against every text by looking up its own differences in lists of who has
+    them. Where the texts are unlike, the reference is empty, and all shingles are differences.
     """
 
     #: Entries of the lists read at once (some MB), however long the texts are.
@@ -119,31 +124,87 @@ class Around:
         items = np.concatenate([items for _, items in texts])
         order = np.argsort(items, kind="stable")
         items = items[order]
-        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), self.size)[order]
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), self.size)[order]
         del order
         new = np.concatenate(([True], items[1:] != items[:-1]))
-        first = np.flatnonzero(new)
-        self.items, self.ends = items[first], np.append(first, len(items))
+        first, which = np.flatnonzero(new), (np.cumsum(new) - 1).astype(np.int32)
+        self.items = items[first]
         # texts of one set count as one
-        owner = self.of[self.text]
+        owner = self.of[text]
         new[1:] |= owner[1:] != owner[:-1]
-        self.sets = np.add.reduceat(new, first, dtype=np.int64)
-
-    def shared(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many of ``items`` each text has; in how many sets each item is."""
+        self.sets = np.add.reduceat(new, first, dtype=np.int32)
+        self.n_sets = len(np.unique(self.of))
+        del owner, new
+        # the sum of a text's differences from all, less the same for every text; below 0 there are fewer than shingles
+        have = np.diff(np.append(first, len(items)))
+        cost = len(texts) * self.size - 2 * np.bincount(text, have[which], len(texts)).astype(np.int64)
+        self.reference = int(cost.argmin()) if cost.min() < 0 else None
+        within = np.zeros(len(self.items), bool)
+        if self.reference is not None:
+            within[which[text == self.reference]] = True
+        #: The reference's shingles among ``items``, and the place there of each.
+        self.own = np.flatnonzero(within)
+        self.place = np.where(within, np.cumsum(within, dtype=np.int32) - 1, -1).astype(np.int32)
+        there = within[which]
+        lacks = np.ones((len(self.own), len(texts)), bool)  # below twice the number of all shingles
+        lacks[self.place[which[there]], text[there]] = False
+        at, who = np.nonzero(lacks)
+        del lacks
+        which, text = np.concatenate((which[~there], self.own[at].astype(np.int32))), np.concatenate((text[~there], who.astype(np.int32)))
+        self.text = text[np.argsort(which, kind="stable")]
+        self.ends = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(self.items))))).astype(np.int32)
+        self.apart = np.bincount(self.text, minlength=len(texts))
+
+    def _find(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where ``items`` (ascending) are or would be; which are there; which the reference lacks; where those that it has beside them are."""
         at = np.minimum(np.searchsorted(self.items, items), len(self.items) - 1)
         there = self.items[at] == items
+        common = there & (self.place[at] >= 0)
+        lacking = np.ones(len(self.own), bool)
+        lacking[self.place[at[common]]] = False
+        return at, there, ~common, self.own[lacking]
+
+    def shared(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many of ``items``, ascending, each text has; in how many sets each item is."""
+        at, there, beside, lacking = self._find(items)
         known = np.where(there, self.sets[at], 0)
-        at = at[there]
+        differs = int(beside.sum()) + len(lacking) + self.apart
+        at = np.concatenate((at[there & beside], lacking))
         first, n = self.ends[at], self.ends[at + 1] - self.ends[at]
-        total, both, i = np.cumsum(n), np.zeros(len(self.of), np.int64), 0
+        total, alike, i = np.cumsum(n), np.zeros(len(self.of), np.int64), 0
         while i < len(at):
             done = int(total[i - 1]) if i else 0
             to = max(i + 1, int(np.searchsorted(total, done + self.HITS, "right")))
             spots = np.repeat(first[i:to] - (total[i:to] - n[i:to]), n[i:to]) + np.arange(done, total[to - 1])
-            both += np.bincount(self.text[spots], minlength=len(both))
+            alike += np.bincount(self.text[spots], minlength=len(alike))
             i = to
-        return both, known
+        return (len(items) + self.size - (differs - 2 * alike)) // 2, known
+
+    def buckets(self, items: np.ndarray, linked: bool, centre: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """As prefixes(), by differences from the reference; ``linked``: whether this set is linked with it.
+
+        Sets x and y with differences X and Y are linked if |X| + |Y| - 2 |X and Y| <= q (|x| + |y|), q = (1 - t) / (1 + t),
+        so they share at least (e(x) + e(y)) / 2 differences, e(x) = |X| - q |x|. Sets linked with the reference, whose e is
+        at most q |reference|, are of one component. So they need not meet each other but others, of larger e, who
+        share at least one difference with them; others meet each other in buckets of their own. Of a set that has to
+        share o, the first |X| - o + 1 suffice, in any one order, here from those that are rare around the centre.
+        """
+        at, there, beside, lacking = self._find(items)
+        found = np.concatenate((items[beside], self.items[lacking]))
+        # in how many sets each differs from the reference
+        rare = np.concatenate((np.where(there, self.sets[at], 0)[beside], self.n_sets - self.sets[lacking]))
+        order = found[np.lexsort((found, rare))]
+        n, d, r, p, q = len(items), len(order), int(self.size[self.reference]), 100 + percent, 100 - percent
+        e = p * d - q * n
+        first = lambda num, den: order[: max(0, d + 1 - max(1, -(-num // den)))]
+        name = lambda x, kind: mix(x ^ mix(np.array([centre], np.int64).view(np.uint64), kind), 1).view(np.int64)
+        if linked:
+            return name(first(e + q * r, 2 * p), 0), np.zeros(0, np.int64)
+        few, most = first(e, p), first(e + q * r, 2 * p)
+        # a linked one that shares o differences has o at least, and at most n / t shingles
+        least, largest = percent * e - q * 100 * n, q * (100 * n + percent * r)
+        some = first(least, p * percent) if least <= largest else order[:0]
+        return name(few, 1), np.concatenate((name(most[len(few) :], 1), name(some, 0)))
 
 
 _TESTED = "c long, x long, both long, all_ long, links array<long>, joins array<long>, near array<long>, far array<long>"
@@ -190,7 +251,7 @@ def _compare(n_words: int, percent: int):
                         around = [Around([(s, one[j]) for s, *one in texts]) for j in (0, 1)] if texts else []
                         # sets already joined by members have the same root
                         root, texts = {s: s for s, *_ in texts}, []
-                    links, joins, best, known = none, none, (0, 1), np.zeros(len(items), np.int64)
+                    links, joins, best, known, linked = none, none, (0, 1), np.zeros(len(items), np.int64), False
                     if around:
                         of = around[0].of
                         both, known = around[0].shared(items)
@@ -199,14 +260,21 @@ def _compare(n_words: int, percent: int):
                         if len(alike):
                             both[alike] = np.minimum(both, around[1].shared(other(chunk, i))[0])[alike]
                             every = around[0].size + len(items) - both
-                            links = np.unique(of[alike[100 * both[alike] >= percent * every[alike]]])
+                            alike = alike[100 * both[alike] >= percent * every[alike]]
+                            links, linked = np.unique(of[alike]), around[0].reference in alike
                             joins = np.array(list({root[s]: s for s in links.tolist()}.values()), np.int64)
                             if len(joins) > 1:
-                                met = {root[s] for s in joins.tolist()}
-                                root = {s: min(met) if r in met else r for s, r in root.items()}
+                                one = {root[s] for s in joins.tolist()}
+                                root = {s: min(one) if r in one else r for s, r in root.items()}
                         for j in np.flatnonzero(of == k[0]).tolist():
                             best = max(best, (int(both[j]), int(every[j])), key=lambda v: v[0] / v[1])
-                    out.append((k[0], x, *best, links, joins, *((none, none) if around and x in root else prefixes(items, known, k[0], percent))))
+                    if around and x in root:
+                        met = none, none
+                    elif around and around[0].reference is not None:
+                        met = around[0].buckets(items, linked, k[0], percent)
+                    else:
+                        met = prefixes(items, known, k[0], percent)
+                    out.append((k[0], x, *best, links, joins, *met))
             c, x, both, all_, links, joins, near, far = zip(*out, strict=True) if out else [()] * 8
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (c, x, both, all_)), *(lists(v) for v in (links, joins, near, far))], names=["c", "x", "both", "all_", "links", "joins", "near", "far"])
 
@@ -216,14 +284,15 @@ def _compare(n_words: int, percent: int):
 def _verify(texts: DataFrame, pairs: DataFrame, n_words: int, percent: int, sets: int) -> DataFrame:
     """_TESTED: the members x of each centre c of ``pairs`` (c, x) compared, on full sets, with it and the smallest of each
     of ``sets`` - 1 parts of them. Of rows that share the id c the most alike counts, each of x is a row."""
-    n = partitions(texts.sparkSession)
+    count = pairs.count()
+    n = min(partitions(texts.sparkSession), 1 + count // TASK)  # later rounds have few members
     # four times as many parts as wanted: of a group that isn't larger than ``sets`` nearly all are taken
     around = pairs.groupBy("c", F.pmod(F.xxhash64("x"), F.lit(4 * sets)).alias("part")).agg(F.min("x").alias("s"), F.count(F.lit(1)).alias("w"))
     taken = F.slice(F.array_sort(F.collect_list(F.struct("part", "s"))), 1, sets - 1)["s"]
     sized = around.groupBy("c").agg(F.sum("w").alias("w"), F.concat(F.array("c"), taken).alias("sets"))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(1 << 20)))
     salts = materialize(sized.withColumn("salts", F.ceil(F.col("w") / STAR)))
-    members = join_unique(salted, salts.drop("sets"), ["c"], "w", pairs.count(), "inner").select("c", (F.col("salt") % F.col("salts")).alias("salt"), "x", F.lit(None).cast("long").alias("s"))
+    members = join_unique(salted, salts.drop("sets"), ["c"], "w", count, "inner").select("c", (F.col("salt") % F.col("salts")).alias("salt"), "x", F.lit(None).cast("long").alias("s"))
     own = salts.select("c", "salts", F.explode("sets").alias("s")).select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("x"), "s")
     there = texts.select(F.col("doc_id").alias("_id"), "text")
     rows = members.unionByName(own).withColumn("_id", F.coalesce("x", "s")).join(there.hint("merge"), "_id")
@@ -242,7 +311,8 @@ def near_dedup(docs: DataFrame, percent: int = 85, n_words: int = 3, bands: int
     d(c, y) > d(c, x) + (1 - percent / 100). So members linked to their centre are done unless some
     unlinked one is that near, and so are those that all others were compared with. The rest go on to the next
     round's buckets, by prefixes(): those that can be linked with each other meet there, while others of a
-    family with much in common part. A bucket whose members are all of one component is done. Rounds end
+    family with much in common part. A bucket whose members are all of one component is done, and one whose members all
+    have a smaller centre in common, the smallest of each, is left to that centre's. Rounds end
     when no bucket has two members left, which must come, as members' ids are above those of all their
     centres so far. So no link between members of a bucket goes untested that could join components, and no
     bucket's pairs are all listed.
@@ -261,14 +331,14 @@ def near_dedup(docs: DataFrame, percent: int = 85, n_words: int = 3, bands: int
     classes = materialize(usable.groupBy(*key).agg(F.min("doc_id").alias("x"), F.count(F.lit(1)).alias("w")))
     total = classes.agg(F.sum("w")).first()[0] or 0
     heads = join_unique(usable, classes, key, "w", total, "inner").where("doc_id = x").select("x", F.col("bands").alias("near"), F.array().cast("array<long>").alias("far"))
-    open_ = materialize(heads.distinct())
+    open_ = materialize(heads.distinct().select("x", F.lit(0).cast("long").alias("main"), F.lit(True).alias("own"), "near", "far"))
     links, reach, named, sets, here = materialize(spark.createDataFrame([], "a long, b long")), 1 - percent / 100, None, SETS, d
     while True:
         flag = lambda c, near: F.transform(c, lambda v: F.struct(v.alias("bucket"), F.lit(near).alias("near")))
-        placed = open_.select("x", F.explode(F.concat(flag("near", True), flag("far", False))).alias("b")).select("x", "b.*")
+        placed = open_.select("x", "main", "own", F.explode(F.concat(flag("near", True), flag("far", False))).alias("b")).select("x", "main", "own", "b.*")
         tagged = placed.withColumn("to", F.col("x")) if named is None else placed.join(named, "x", "left").withColumn("to", F.coalesce("to", "x"))
-        buckets = tagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("c"), F.max("near").alias("some"), (F.min("to") != F.max("to")).alias("apart"))
-        buckets = materialize(buckets.where("n > 1 AND apart AND some").select("bucket", "n", "c"))
+        buckets = tagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("c"), F.max("near").alias("some"), (F.min("to") != F.max("to")).alias("apart"), (F.max("own") | (F.min("main") != F.max("main"))).alias("new"))
+        buckets = materialize(buckets.where("n > 1 AND apart AND some AND new").select("bucket", "n", "c"))
         met = may_pass(placed.select("x", "bucket"), key_filter(buckets, "bucket"), "bucket")
         pairs = join_unique(met, buckets, ["bucket"], "n", buckets.agg(F.sum("n")).first()[0] or 0, "inner").where("x != c")
         pairs = materialize(pairs.select("c", "x").distinct())
@@ -283,7 +353,9 @@ def near_dedup(docs: DataFrame, percent: int = 85, n_words: int = 3, bands: int
         linked, dist = F.col("linked"), 1 - F.col("both") / F.col("all_")
         near = tested.groupBy("c").agg(F.min(F.when(~linked, dist)).alias("least"), F.count(F.lit(1)).alias("m")).where("least IS NOT NULL")
         rest = join_unique(tested.where(F.size("near") > 0), near, ["c"], "m", tested.count(), "inner").where(~linked | (F.col("least") <= dist + reach + 1e-9))
-        left = materialize(rest.select("x", "near", "far"))
+        # two members of a centre that have a smaller one in common meet by that one's buckets
+        main = tested.groupBy("x").agg(F.min("c").alias("main"))
+        left = materialize(rest.select("c", "x", "near", "far").join(main, "x").select("x", "main", (F.col("main") == F.col("c")).alias("own"), "near", "far"))
         discard(links, open_, pairs, tested, here)
         here, links, open_, sets = wanted, more, left, min(MOST_SETS, 4 * sets)
         named = components(links).select(F.col("node").alias("x"), F.col("component").alias("to"))

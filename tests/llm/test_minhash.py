@@ -164,6 +164,62 @@ def test_a_group_of_hundreds_is_done_in_one_round(spark, monkeypatch):
     assert got == {i: i if i < 300 else i - 300 for i in range(320)} and len(rounds) <= 2, rounds
 
 
+def edited(rng, n, size=80, most=25):
+    """Near copies of one text, 1 to ``most`` words of each replaced, taken out or put in: about half are linked with it."""
+    base, out = [f"t{i}" for i in range(size)], []
+    for k in range(n):
+        text = list(base)
+        for j in range(1 + int(most * rng.random() ** 3)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.choice((0, 1, 1))] = rng.choice(([], [f"own{k}x{j}"], [f"own{k}x{j}"], [f"few{rng.randrange(9)}"]))
+        out.append(" ".join(text))
+    return [" ".join(base), *out]
+
+
+@pytest.mark.parametrize("sets", [2, 20, 512])
+def test_buckets_meet(sets):
+    """Whatever the reference, any two that are linked share a bucket, unless both are linked with the reference."""
+    rng, tried, of = random.Random(sets), 0, {}
+    texts = edited(rng, 90, 100, 40)
+    copies = [" ".join(word if k != 50 else f"z{i}" for k, word in enumerate(t.split())) for i, t in enumerate(texts)]
+    for t in texts + copies:
+        items = np.unique(minhash.shingles(next(w.words(pa.array([t]))).of(0), 3))
+        of[items.tobytes()] = items
+    of = list(of.values())
+    rng.shuffle(of)
+    around = minhash.Around([(k, items) for k, items in enumerate(of[-sets:])])
+    reference, met = of[-sets:][around.reference], []
+    alike = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+    for items in of:
+        linked = alike(items, reference)
+        met.append((items, linked, *(set(v.tolist()) for v in around.buckets(items, linked, 7, 85))))
+    for i, (x, joined, near, far) in enumerate(met):
+        for y, joined2, near2, far2 in met[:i]:
+            if not (joined and joined2) and alike(x, y):
+                tried += 1
+                assert near & (near2 | far2) or near2 & (near | far)
+    assert tried > 20
+    # what the reference has isn't listed again for every text
+    assert sets == 2 or len(around.text) < 0.6 * around.size.sum()
+
+
+def test_near_copies_of_one_text_in_few_rounds(spark, monkeypatch):
+    """With room for few sets the rest of a large family of near copies is found by buckets, not by ever new centres."""
+    monkeypatch.setattr(minhash, "SETS", 8)
+    monkeypatch.setattr(minhash, "MOST_SETS", 8)
+    texts, tested, verify = edited(random.Random(2), 500), [], minhash._verify
+
+    def counted(docs, pairs, *rest):
+        tested.append(pairs.count())
+        return verify(docs, pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_verify", counted)
+    pairs = list(enumerate(texts))
+    got = sorted((tuple(r) for r in near_dedup(docs_of(spark, pairs)).collect()), key=str)
+    assert got == brute(pairs)
+    assert sum(tested[1:]) < 8 * len(pairs) and len(tested) <= 8, tested
+
+
 def test_prefixes_meet():
     rng = np.random.default_rng(4)
     for _ in range(300):
