@@ -105,24 +105,26 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return cold.select(*keys, *out, *cols).unionByName(warm.select(*keys, *out, *cols))
 
 
-#: Bits of a key_filter. Bit i is bit i % 8 of byte i // 8 % 4096 in row 1 + i // 32768.
+#: Bits of a key_filter. Bit i is bit i % 64 ^ 56 of long i // 64 % 512 in row 1 + i // 32768 (Spark's bitmap, its bytes eight to a long).
 BITS = 1 << 26
 
 
 def key_filter(keys: DataFrame, key: str) -> DataFrame:
     """A bitmap of 2^26 bits over the 64-bit hashes in ``key``: at most 2048 rows of 4 KB, however many keys.
 
-    What passes it is a superset of the rows with such keys; it saves moving most of the others.
+    What passes it is a superset of the rows with such keys; it saves moving most of the others. Rows hold longs,
+    as a tested row reads one in place; of a binary value Spark copies all 4 KB for each row.
     """
     slot = F.pmod(F.col(key), F.lit(BITS)) + 1
-    return keys.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
+    bits = keys.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
+    long = lambda i: F.conv(F.hex(F.substring("_bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    return bits.select("_bucket", F.transform(F.sequence(F.lit(0), F.lit(511)), long).alias("_bits"))
 
 
 def may_pass(df: DataFrame, filt: DataFrame, key: str, yes: bool = True) -> DataFrame:
     """The rows of ``df`` whose hash ``key`` may be among those of ``filt``, or (not ``yes``) surely isn't."""
     slot = F.pmod(F.col(key), F.lit(BITS)) + 1
-    pos = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(pos, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    hit = F.coalesce(F.getbit(byte, F.pmod(pos, F.lit(8)).cast("int")) == 1, F.lit(False))
+    pos = F.bitmap_bit_position(slot).cast("int")
+    hit = F.coalesce(F.getbit(F.get("_bits", F.shiftright(pos, 6)), pos.bitwiseAND(63).bitwiseXOR(56)) == 1, F.lit(False))
     tested = df.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(filt), "_bucket", "inner" if yes else "left")
     return tested.where(hit if yes else ~hit).drop("_bucket", "_bits")

@@ -66,12 +66,14 @@ def _chunk_minimizers(chunk: Words, window: int) -> tuple[np.ndarray, np.ndarray
 
 
 _BODY_BYTES = 16 << 20
-_SEGMENT = "f long, did long, th long, start int, size int, body string"
+_SEGMENT = "f long, did long, th long, start int, size int, s1 long, s2 long, body string"
+#: Of a stored index; raised when what it stores changes.
+_LAYOUT = 2
 
 
 def segments(docs: DataFrame, window: int) -> DataFrame:
     """One row for each stretch of consecutive windows that share a fingerprint's place: the fingerprint, the
-    first window's word, the number of windows, and all their words, joined by one space."""
+    first window's word, the number of windows, and all their words, joined by one space, after 128 bits of their SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,7 +92,8 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
                 part = np.cumsum(j - i) // _BODY_BYTES  # a very long text gives several batches
                 for k in np.split(np.arange(len(i)), np.flatnonzero(np.diff(part)) + 1):
                     body = [text[x:y] for x, y in zip(i[k].tolist(), j[k].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c[k]) for c in cols), pa.array(body, pa.binary()).cast(pa.string())], names=[c.split()[0] for c in _SEGMENT.split(", ")])
+                    named = np.frombuffer(b"".join([hashlib.sha256(x).digest()[:16] for x in body]), np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[k]) for c in cols), pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(body, pa.binary()).cast(pa.string())], names=[c.split()[0] for c in _SEGMENT.split(", ")])
 
     return docs.select("did", "th", "text").mapInArrow(run, _SEGMENT)
 
@@ -110,9 +113,11 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, path: str, window: int, buckets: int | None = None, fanout: int = 2):
         self.spark, self.path = spark, path.rstrip("/")
         text = newest_text(spark, f"{self.path}/manifests")
-        self.state = json.loads(text) if text else {"window": window, "buckets": buckets or partitions(spark), "fanout": fanout, "number": 0, "runs": [], "batches": [], "hits": []}
+        self.state = json.loads(text) if text else {"window": window, "buckets": buckets or partitions(spark), "fanout": fanout, "layout": _LAYOUT, "number": 0, "runs": [], "batches": [], "hits": []}
         if self.state["window"] != window:
             raise ValueError(f"{path} is an index of windows of {self.state['window']} words")
+        if self.state.get("layout") != _LAYOUT:
+            raise ValueError(f"{path} is an index of another layout: build it again")
 
     def _commit(self, **new: object) -> None:
         state = self.state | new | {"number": self.state["number"] + 1}
@@ -218,16 +223,13 @@ def repeated_windows(found: DataFrame, window: int) -> tuple[DataFrame, list[Dat
     their fingerprint. A variant met twice decides for all its windows where it is its fingerprint's only
     one. Where there are several, the windows of one specimen each are counted against each other, by a
     hash of their words, each with its variant's number of copies. So every decision is about words, once a
-    variant, not about fingerprints. Hot variants and hot windows meet in partial aggregates. Also returns
-    the tables that the result reads.
+    variant, not about fingerprints. Hot variants and hot windows meet in partial aggregates. Words are read only
+    where there are several variants. Also returns the tables that the result reads.
     """
-    digest = F.sha2("body", 256)
-    half = lambda at: F.conv(F.substring("_d", at, 16), 16, -10).cast("long")
-    found = found.withColumn("_d", digest).withColumns({"s1": half(1), "s2": half(17)}).drop("_d")
-    found = materialize(found)
     key = ["f", "s1", "s2"]
-    n_found = found.count()
-    variants = materialize(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")))
+    named = materialize(found.drop("body"))
+    n_found = named.count()
+    variants = materialize(named.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")))
     several = materialize(variants.groupBy("f").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("w")).where("v > 1"))
     filt = key_filter(several, "f")
     every = (F.call_function("shiftleft", F.lit(1).cast("long"), F.col("size")) - 1).alias("mask")
@@ -241,8 +243,8 @@ def repeated_windows(found: DataFrame, window: int) -> tuple[DataFrame, list[Dat
     masks = hit.groupBy(*key).agg(F.max("n").alias("n"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias("mask"))
     known = materialize(alone.unionByName(masks))
     discard(variants, several, wide, counts)
-    out = join_unique(found.where("own").select(*key, "did", "th", "start"), known, key, "n", n_found, "inner").select("did", "th", "start", "mask")
-    return out, [found, known]
+    out = join_unique(named.where("own").select(*key, "did", "th", "start"), known, key, "n", n_found, "inner").select("did", "th", "start", "mask")
+    return out, [named, known]
 
 
 def _cover(window: int):
