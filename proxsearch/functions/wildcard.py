@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +54,19 @@ def matches(word: Column, pattern: str, budget: str = "scaled") -> Column:
     return word.rlike(to_regex(pattern, budget))
 
 
+def may_match(folded: pa.Array, patterns: list[str]) -> np.ndarray:
+    """Whether a word that has ``folded`` as its lower-case form may match any of ``patterns``: by what stands before the first and after the last wildcard."""
+    found = np.zeros(len(folded), bool)
+    for p in (p.lower() for p in patterns):
+        if is_pattern(p):
+            head, tail = re.match(r"[^*?]*", p)[0], re.search(r"[^*?]*\Z", p)[0]
+            hit = pc.and_(pc.starts_with(folded, head), pc.ends_with(folded, tail))
+        else:
+            hit = pc.equal(folded, p)
+        found |= hit.to_numpy(zero_copy_only=False)
+    return found
+
+
 def legacy_matches(word: Column, pattern: str) -> Column:
     """Unbounded matching of the lower-cased pattern: equal, starts with, ends with, contains, or any glob."""
     p = pattern.lower()

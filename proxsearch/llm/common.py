@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import scratch
+from ..storage import bound_batches, scratch
 
 #: A key holding at least this share of all rows is hot; at most 1 / HOT_SHARE keys can be.
 HOT_SHARE = 1 / 1000
@@ -37,21 +37,6 @@ def pick(df: DataFrame, **want: str) -> DataFrame:
     return placed.select(*[F.col(c).alias(new) for new, c in spots.items()])
 
 
-#: Rows and bytes handed to Python at once, so that a worker's memory doesn't grow with the texts' lengths; a longer text comes alone.
-ARROW_ROWS, ARROW_BYTES = 500, 32 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of ARROW_ROWS rows and about ARROW_BYTES, unless the session has settings of its own.
-
-    Plans read these settings when they run, which is after the operator has returned, so they stay set.
-    """
-    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, str(most))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name in the folder that all executors share (spark.checkpoint.dir)."""
     return scratch(spark)
