@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import bound_batches
+
 
 def chains(lists: list[Column], adjacency: int) -> Column:
     """Matches, as arrays of postings, of the terms' posting arrays (each in order of position).
@@ -39,6 +41,7 @@ def chain_rows(lists: DataFrame, n_terms: int, adjacency: int, keep_unmatched: b
     chain's next posting is found among the sorted keys of the next term. Lists may come in any order.
     """
     width, reach = 1 << 32, adjacency + 1
+    bound_batches(lists.sparkSession)
     schema = lists.select("doc_id", F.array("l0").alias("matches")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,13 +80,15 @@ def chain_rows(lists: DataFrame, n_terms: int, adjacency: int, keep_unmatched: b
 def chain_join(postings: DataFrame, n_terms: int, adjacency: int) -> DataFrame:
     """(doc_id, start, positions) by joins, for lists too long for arrays.
 
-    ``postings``: (term_no, doc_id, position), a row each. As the distance is small, the range join is an
-    equi-join on the positions it may reach.
+    ``postings``: (term_no, doc_id, position), a row each. Positions are cut into blocks as long as a step may reach, so
+    that the range join is an equi-join on the one or two blocks that it may reach.
     """
-    at = postings.where("term_no = 0").select("doc_id", F.col("position").alias("start"), F.col("position").alias("at"), F.array("position").alias("positions"))
+    reach = adjacency + 1
+    block = lambda c: F.floor(c / reach).cast("int")
+    at = postings.where("term_no = 0").select("doc_id", F.col("position").alias("p0"))
     for k in range(1, n_terms):
-        nxt = postings.where(F.col("term_no") == k).select("doc_id", F.col("position").alias("next"))
-        tried = at.withColumn("next", F.explode(F.sequence(F.col("at") + 1, F.col("at") + adjacency + 1)))
-        hit = tried.join(nxt, ["doc_id", "next"]).groupBy("doc_id", "start").agg(F.min("next").alias("at"), F.min_by("positions", "next").alias("positions"))
-        at = hit.withColumn("positions", F.concat("positions", F.array("at")))
-    return at.select("doc_id", "start", "positions")
+        before, prev, nxt = [f"p{i}" for i in range(k)], F.col(f"p{k - 1}"), F.col(f"p{k}")
+        later = postings.where(F.col("term_no") == k).select("doc_id", F.col("position").alias(f"p{k}"), block(F.col("position")).alias("block"))
+        tried = at.withColumn("block", F.explode(F.sequence(block(prev + 1), block(prev + reach))))
+        at = tried.join(later, ["doc_id", "block"]).where((nxt > prev) & (nxt <= prev + reach)).groupBy("doc_id", *before).agg(F.min(nxt).alias(f"p{k}"))
+    return at.select("doc_id", F.col("p0").alias("start"), F.array(*[f"p{k}" for k in range(n_terms)]).alias("positions"))

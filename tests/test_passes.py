@@ -45,3 +45,8 @@ def test_merge_queries_move_texts_and_no_postings(spark):
     for name in ("reindex_replace", "merge_last_wins"):
         plan = plan_of(spark, name)
         assert plan.count("MapInArrow") == 1 and "Join" not in plan and plan.index("MapInArrow") < plan.index("Aggregate")
+
+
+def test_join_form_scans_texts_once(spark):
+    assert "MapInArrow" not in plan_of(spark, "near_join_form") and "documents.parquet" not in plan_of(spark, "near_join_form")
+    assert "regexp" not in plan_of(spark, "near_join_form")
