@@ -1,7 +1,8 @@
-"""Delta coding and the size of variable-length integers, as column expressions."""
+"""Delta coding and the size of variable-length integers, as column expressions and over arrays that hold many lists one after another."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -25,3 +26,23 @@ def varint_size(value: Column) -> Column:
     """Bytes of a 32-bit integer in groups of 7 bits; a negative one takes 5."""
     over = [F.when(value >= (1 << bits), 1).otherwise(0) for bits in (7, 14, 21, 28)]
     return F.when(value < 0, 5).otherwise(1 + over[0] + over[1] + over[2] + over[3])
+
+
+def encode_lists(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """As delta_encode, of lists one after another; ``sizes``: how many values each has, at least one."""
+    first = np.cumsum(sizes) - sizes
+    deltas = np.diff(values, prepend=0)
+    deltas[first] = values[first]
+    return deltas
+
+
+def decode_lists(deltas: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The inverse of encode_lists."""
+    first = np.cumsum(sizes) - sizes
+    sums = np.cumsum(deltas)
+    return sums - np.repeat(sums[first] - deltas[first], sizes)
+
+
+def varint_sizes(values: np.ndarray) -> np.ndarray:
+    """As varint_size, of each value."""
+    return np.where(values < 0, 5, 1 + sum((values >= (1 << bits)).astype(np.int64) for bits in (7, 14, 21, 28)))

@@ -31,6 +31,14 @@ def test_texts_scanned_as_arrays_give_the_words_of_the_pattern(chunk, monkeypatc
         assert folded == [x.lower() for x in words]
 
 
+def test_lists_are_coded_as_by_columns():
+    values, sizes = np.array([3, 9, 200, 5, 70000, 70001]), np.array([3, 1, 2])
+    deltas = codec.encode_lists(values, sizes)
+    assert deltas.tolist() == [3, 6, 191, 5, 70000, 1]
+    assert codec.decode_lists(deltas, sizes).tolist() == values.tolist()
+    assert codec.varint_sizes(np.array([-1, 0, 127, 128, 16384, 1 << 28])).tolist() == [5, 1, 1, 2, 3, 5]
+
+
 @pytest.mark.parametrize("policy", inverted.MERGES)
 def test_merged_documents_equal_merged_segments(spark, policy):
     rows = [(0, 1, "The cat the end"), (1, 1, "the cat"), (0, 2, "only here"), (1, 2, "1 2"), (0, 3, None), (1, 3, "new"), (2, 1, " "), (0, 4, "x" * 50)]
