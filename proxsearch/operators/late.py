@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from ..functions.text import chunks, scan_texts, word_pattern
 from ..storage import bound_batches
-from ..functions.text import tokens
 from .inverted import POSITIONS, build
 
 
@@ -22,8 +21,21 @@ def build_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def with_offsets(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag_mode: str = "clean") -> DataFrame:
-    """(doc_id, position, char_start, char_len) of every posting in the ``matches`` of ``found``; only the documents found are scanned."""
-    wanted = found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", F.explode("m.position").alias("position")).distinct()
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    spans = tokens(d.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), tag_mode=tag_mode)
-    return spans.join(wanted, ["doc_id", "position"]).select("doc_id", "position", "char_start", "char_len")
+    """(doc_id, position, char_start, char_len) of every posting in the ``matches`` of ``found``; only the documents found are scanned, beside their positions."""
+    word_pattern(tag_mode)
+    bound_batches(docs.sparkSession)
+    wanted = found.select("doc_id", F.flatten(F.transform("matches", lambda m: m["position"])).alias("w")).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("wanted"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(wanted, "doc_id")
+    out = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), *[T.StructField(c, T.IntegerType()) for c in ("position", "char_start", "char_len")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, texts in chunks(b.column("text")):
+                w = scan_texts(texts, tag_mode)
+                asked = b.column("wanted").slice(at, len(texts))
+                place = np.repeat(np.arange(len(texts)), asked.value_lengths().to_numpy()) << 32 | asked.flatten().to_numpy()
+                hit = np.flatnonzero(np.isin(w.text << 32 | w.position, place))
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(w.text[hit] + at)), *(pa.array(c[hit].astype(np.int32)) for c in (w.position, w.start, w.size))], names=out.names)
+
+    return d.mapInArrow(run, out)

@@ -80,3 +80,8 @@ def test_vocabulary_queries_move_each_term_of_a_chunk_once(spark):
         assert plan.count("Aggregate") == 1 and "regexp_extract_all" not in plan
     docs = spark.createDataFrame([(i, "the same Words the") for i in range(100)], "doc_id long, text string").coalesce(1)
     assert sorted(map(tuple, inverted.build(docs, rows=inverted.COUNTS).collect())) == [("Words", 100, 100), ("same", 100, 100), ("the", 100, 200)]
+
+
+def test_late_offsets_move_texts_and_no_words(spark):
+    plan = plan_of(spark, "late_offsets")
+    assert plan.count("Join") == 1 and "regexp_extract_all" not in plan and "word" not in plan
