@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from ..functions.snippets import snippets as snippet_column
 from ..functions.text import is_blank
 from ..plans.query import Query, expansion, search
-from ..schemas import TOKENS, VOCAB
+from ..schemas import STORED, TOKENS, VOCAB
 from ..storage import filesystem, newest_text, put_numbered
-from .inverted import bucket, build, merge_last_wins, vocabulary
+from .inverted import MERGES, PACKED, bucket, build, merge_last_wins, unpacked, vocabulary
 
-MERGES = ("replace", "term_last_wins")
 _DOCUMENT = "doc_id long, path string"
 _GONE = "segment string, doc_id long"
+#: How segments are laid out: 2 has postings in bytes. Others are refused.
+FORMAT = 2
 #: Replaced and deleted documents up to this number (16 MB) are broadcast to searches; more are joined by shuffle.
 BROADCAST_GONE = 1 << 20
 
@@ -32,7 +33,7 @@ class Index:
     ``vacuum``, as plans made before still read them. A step counts once a numbered manifest names it, in a folder of
     a name of its own: a failed or repeated step does no harm, and of two writers at once one gets an error.
 
-    Opening checks that every file the manifest names is there. ``create``: whether to begin an index where there is none.
+    Opening checks that every file the manifest names is there, and that it is of this ``FORMAT``. ``create``: whether to begin an index where there is none.
     Document ids should be unique within a batch; null ids are left out.
     """
 
@@ -43,7 +44,9 @@ class Index:
             fs, where = filesystem(spark, self.path)
             if not create or fs.exists(where) and len(fs.listStatus(where)):
                 raise FileNotFoundError(f"no index at {path}")
-        self.state = json.loads(text) if text else {"version": 0, "buckets": buckets, "tag_mode": tag_mode, "case": case, "merge_policy": merge_policy, "segments": [], "gone": [], "n_gone": 0, "vocabulary": [], "old": []}
+        self.state = json.loads(text) if text else {"version": 0, "format": FORMAT, "buckets": buckets, "tag_mode": tag_mode, "case": case, "merge_policy": merge_policy, "segments": [], "gone": [], "n_gone": 0, "vocabulary": [], "old": []}
+        if self.state.get("format") != FORMAT:
+            raise ValueError(f"the index at {path} is of another format; build it anew")
         if self.state["merge_policy"] not in MERGES:
             raise ValueError(f"merge_policy: {self.state['merge_policy']!r}")
         for name in self._files():
@@ -66,10 +69,10 @@ class Index:
 
     def _write_tokens(self, rows: DataFrame, name: str) -> DataFrame:
         n = self.state["buckets"]
-        rows = rows.select("term", F.col("doc_id").cast("long").alias("doc_id"), "postings", bucket(F.col("term"), n).alias("bucket"))
+        rows = rows.select("term", F.col("doc_id").cast("long").alias("doc_id"), "n", "packed", bucket(F.col("term"), n).alias("bucket"))
         # hot terms are many rows of one bucket: AQE splits what a rebalance makes too large
         rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/tokens/{name}")
-        return self._read("tokens", [name], TOKENS)
+        return self._read("tokens", [name], STORED)
 
     def _write_gone(self, ids: DataFrame, name: str) -> int:
         """Lists the documents of ``ids`` as gone from those of the present segments that hold them; returns how many."""
@@ -89,12 +92,14 @@ class Index:
     def _replaces(self) -> bool:
         return self.state["merge_policy"] == "replace"
 
-    def _counts(self, name: str, new: DataFrame | None, gone: DataFrame | None) -> list[str]:
-        """The vocabulary's files with another: what ``new`` postings add and ``gone`` documents take."""
-        parts = [] if new is None else [vocabulary(new)]
+    def _counts(self, name: str, new: DataFrame | None, gone: DataFrame | None, n_gone: int = 0) -> list[str]:
+        """The vocabulary's files with another: what ``new`` postings add and the ``n_gone`` documents of ``gone`` take."""
+        counted = lambda rows: rows.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("n").alias("coll_freq"))
+        parts = [] if new is None else [counted(new)]
         if gone is not None:
-            taken = self._stored().join(gone, ["segment", "doc_id"], "left_semi")
-            parts.append(vocabulary(taken).select("term", (-F.col("doc_freq")).alias("doc_freq"), (-F.col("coll_freq")).alias("coll_freq")))
+            some = F.broadcast(gone) if n_gone <= BROADCAST_GONE else gone
+            taken = self._stored().join(some, ["segment", "doc_id"], "left_semi")
+            parts.append(counted(taken).select("term", (-F.col("doc_freq")).alias("doc_freq"), (-F.col("coll_freq")).alias("coll_freq")))
         both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         both.write.option("compression", "zstd").parquet(f"{self.path}/vocabulary/{name}")
         return [*self.state["vocabulary"], name]
@@ -111,16 +116,16 @@ class Index:
             id_col_, text_col_ = "doc_id", "text"
         else:
             id_col_, text_col_ = id_col, text_col
-        rows = self._write_tokens(build(some, id_col_, text_col_, self.state["tag_mode"], self.state["case"]), name)
+        rows = self._write_tokens(build(some, id_col_, text_col_, self.state["tag_mode"], self.state["case"], rows=PACKED, by_term=True), name)
         path = (F.col(path_col) if path_col else F.lit(None)).cast("string").alias("path")
         docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), path).dropDuplicates(["doc_id"]).write.option("compression", "zstd").parquet(f"{self.path}/documents/{name}")
         new = {"segments": [*self.state["segments"], name]}
-        gone = None
+        gone, n = None, 0
         if self._replaces() and self.state["segments"]:
             n = self._write_gone(self._read("documents", [name], _DOCUMENT), name)
             new |= {"gone": [*self.state["gone"], name], "n_gone": self.state["n_gone"] + n}
             gone = self._read("gone", [name], _GONE) if n else None
-        self._commit(**new, vocabulary=self._counts(name, rows, gone), **also)
+        self._commit(**new, vocabulary=self._counts(name, rows, gone, n), **also)
         return name
 
     def delete(self, ids: DataFrame) -> None:
@@ -128,7 +133,7 @@ class Index:
         name = uuid.uuid4().hex
         n = self._write_gone(ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), name)
         if n:
-            self._commit(gone=[*self.state["gone"], name], n_gone=self.state["n_gone"] + n, vocabulary=self._counts(name, None, self._read("gone", [name], _GONE)))
+            self._commit(gone=[*self.state["gone"], name], n_gone=self.state["n_gone"] + n, vocabulary=self._counts(name, None, self._read("gone", [name], _GONE), n))
 
     def delete_paths(self, paths: DataFrame) -> None:
         """As ``delete``, of documents by ``path``; unknown paths are ignored."""
@@ -154,20 +159,25 @@ class Index:
     def _stored(self) -> DataFrame:
         every = None
         for i, s in enumerate(self.state["segments"]):
-            part = self._read("tokens", [s], TOKENS).withColumns({"segment": F.lit(s), "segment_id": F.lit(i)})
+            part = self._read("tokens", [s], STORED).withColumns({"segment": F.lit(s), "segment_id": F.lit(i)})
             every = part if every is None else every.unionByName(part)
-        return self.spark.createDataFrame([], TOKENS).withColumns({"segment": F.lit(""), "segment_id": F.lit(0)}) if every is None else every
+        return self.spark.createDataFrame([], STORED).withColumns({"segment": F.lit(""), "segment_id": F.lit(0)}) if every is None else every
+
+    def _now(self, wanted: object = None) -> DataFrame:
+        """The rows of ``tokens`` as they are stored."""
+        stored = self._stored()
+        left = self._left(stored if wanted is None else stored.where(wanted))
+        if self._replaces() or len(self.state["segments"]) < 2:
+            return left.select(*STORED.names)
+        merged = merge_last_wins(left.withColumn("postings", F.struct("n", "packed")))
+        return merged.select("term", "doc_id", "postings.*", bucket(F.col("term"), self.state["buckets"]).alias("bucket"))
 
     def tokens(self, wanted: object = None) -> DataFrame:
         """(term, doc_id, postings, bucket) as of now, of the rows with ``wanted`` (a condition on term and bucket) if given.
 
         The condition reaches every segment's scan; gone documents are left out by one small join.
         """
-        stored = self._stored()
-        left = self._left(stored if wanted is None else stored.where(wanted))
-        if self._replaces() or len(self.state["segments"]) < 2:
-            return left.select("term", "doc_id", "postings", "bucket")
-        return merge_last_wins(left).withColumn("bucket", bucket(F.col("term"), self.state["buckets"]))
+        return self._now(wanted).withColumn("postings", unpacked(F.col("n"), F.col("packed"))).select(*TOKENS.names)
 
     def postings(self, *terms: str) -> DataFrame:
         """(term, doc_id, postings) of the ``terms``, from their buckets alone."""
@@ -191,9 +201,9 @@ class Index:
         if len(self.state["segments"]) + len(self.state["gone"]) + len(self.state["vocabulary"]) < 3:
             return
         before, older, name = self._files(), self.state["old"], uuid.uuid4().hex
-        rows = self._write_tokens(self.tokens(), name)
+        rows = self._write_tokens(self._now(), name)
         self.documents().write.option("compression", "zstd").parquet(f"{self.path}/documents/{name}")
-        vocabulary(rows).write.option("compression", "zstd").parquet(f"{self.path}/vocabulary/{name}")
+        self._counts(name, rows, None)
         self._commit(segments=[name], gone=[], n_gone=0, vocabulary=[name], old=before)
         self._remove(older)
 

@@ -1,5 +1,6 @@
 """How often texts are scanned and what is moved: one pass for words, nothing a posting at a time."""
 
+import json
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from proxsearch import queries
 from proxsearch.functions import codec, text, wildcard
 from proxsearch.operators import inverted
+from proxsearch.operators.index import Index
 
 SF = "/root/testdata/sf0.001"
 ODD = [*'abCDz  \n.<>"<>', "א", "ת", "֑", "́", "é", "\U0001f600", "־", "ſ", "K", "<b>", "a" * 20, "\x00"]
@@ -95,3 +97,29 @@ def test_searches_hand_over_their_words_alone_in_bounded_batches(spark):
 def test_late_offsets_move_texts_and_no_words(spark):
     plan = plan_of(spark, "late_offsets")
     assert plan.count("Join") == 1 and "regexp_extract_all" not in plan and "word" not in plan
+
+
+def test_stored_postings_come_back_whatever_their_size(spark):
+    far = "<" + "x" * 70_000 + ">ab ab <b>a</b>b " + "ab " * 300
+    docs = spark.createDataFrame([(1, far), (2, "ab cd ab"), (3, "x" * 40 + "<" + "y" * 66_000 + ">z end")], "doc_id long, text string")
+    packed = inverted.build(docs, rows=inverted.PACKED, by_term=True)
+    got = packed.withColumn("postings", inverted.unpacked(packed["n"], packed["packed"])).select("term", "doc_id", "postings")
+    assert sorted(map(str, got.collect())) == sorted(map(str, inverted.build(docs).collect()))
+    assert [tuple(r) for r in packed.selectExpr("doc_id", "octet_length(packed) / n").where("term = 'ab'").collect()] == [(1, 12.0), (2, 6.0)]
+
+
+def test_stored_index_counts_words_without_their_postings(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/i", buckets=4)
+    index.append(spark.createDataFrame([(i, "one two one") for i in range(20)], "doc_id long, text string"))
+    stored = index._stored()
+    assert stored.columns[:4] == ["term", "doc_id", "n", "packed"] and stored.agg({"n": "sum"}).first()[0] == 60
+    state = json.loads((tmp_path / "i/manifests/000000000001.json").read_text())
+    (tmp_path / "i/manifests/000000000002.json").write_text(json.dumps({k: v for k, v in state.items() if k != "format"}))
+    with pytest.raises(ValueError, match="another format"):
+        Index(spark, f"file://{tmp_path}/i")
+
+
+def test_rows_of_an_index_come_in_runs_of_terms(spark):
+    docs = spark.createDataFrame([(i, f"The cat Zoo the apple w{i}xx") for i in range(30)], "doc_id long, text string").coalesce(1)
+    rows = [(r["term"], r["doc_id"]) for r in inverted.build(docs, by_term=True).collect()]
+    assert rows == sorted(rows)
